@@ -50,7 +50,7 @@ def fuse_scores(
     """(group, item, fused_score, fused_rank, lists) over all lists of a group.
 
     ``ranking`` names the columns that, with the group, identify one list. Which
-    direction of a score is better is read from its correlation with the rank in
+    direction of a score is better is read from its covariance with the rank in
     the same list (1 is best); a list without any rank counts higher as better.
     Score and rank of a list are two readings of the same judgement: each is
     standardised, and their geometric mean is the list's value for the item. A
@@ -72,7 +72,7 @@ def fuse_scores(
     centre = rows.groupBy(*keys).agg(
         med("_s").alias("_ms"),
         med("_r").alias("_mr"),
-        F.when(F.corr("_s", "_r") > 0, -1.0).otherwise(1.0).alias("_sign"),
+        F.when(F.covar_pop("_s", "_r") > 0, -1.0).otherwise(1.0).alias("_sign"),
         F.max("_w").alias("_w"),
     )
     rows = rows.drop("_w").join(centre, keys)
