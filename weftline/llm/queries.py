@@ -77,4 +77,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mention_groups(table(spark, d, "mention_matches"), table(spark, d, "raw_entity_mentions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p6_found, p6_groups, p7_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.subjects import document_subjects
+
+    return document_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels")).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.subjects import corpus_composition, document_subjects
+
+    docs = table(spark, d, "documents")
+    return corpus_composition(docs, document_subjects(docs, table(spark, d, "subject_areas"), table(spark, d, "subject_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p6_found, p6_groups, p7_found, p9_found, p10_found, p10_composition)}

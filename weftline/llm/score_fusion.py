@@ -21,12 +21,15 @@ class FusionScale:
     floor: value of an item in a list that doesn't hold it; below what a present
         item gets unless it lies more than ``ln((1-floor)/floor)`` deviations off.
     bound: standardised values beyond it are cut before the squash (it is flat there).
-    accuracy: of percentile_approx; medians of lists up to this size are exact.
+    quantiles: of a list's scores, evenly spaced, from which its median and deviations are
+        taken; for lists of more items both are true to half a percent of the ranks.
+    accuracy: of percentile_approx, whose quantiles are exact for lists up to this size.
     """
 
     floor: float = 0.02
     bound: float = 30.0
-    accuracy: int = 10_000
+    quantiles: int = 101
+    accuracy: int = 1_000
 
 
 def _squash(value: Column, centre: Column, mad: Column, mean_dev: Column, bound: float) -> Column:
@@ -37,6 +40,14 @@ def _squash(value: Column, centre: Column, mad: Column, mean_dev: Column, bound:
     return F.when(value.isNotNull(), 1 / (1 + F.exp(-z)))
 
 
+def _spread(q: Column, suffix: str) -> list[Column]:
+    """Median, median absolute and mean absolute deviation, from evenly spaced quantiles."""
+    centre = F.element_at(q, F.ceil(F.size(q) / 2).cast("int"))
+    off = F.array_sort(F.transform(q, lambda x: F.abs(x - centre)))
+    mean = F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x) / F.size(off)
+    return [centre.alias(f"_m{suffix}"), F.element_at(off, F.ceil(F.size(off) / 2).cast("int")).alias(f"_d{suffix}"), mean.alias(f"_a{suffix}")]
+
+
 def fuse_scores(
     scores: DataFrame,
     group: str,
@@ -61,38 +72,35 @@ def fuse_scores(
     with map-side combine see a whole list, so a list or a group of any size is
     never held by one task; an empty input gives an empty result.
     """
-    keys = [group, *ranking]
     finite = F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") != float("inf"))
+    present = F.col(group).isNotNull() & F.col(item).isNotNull()
+    for c in ranking:
+        present = present & F.col(c).isNotNull()
+    keys = [group, "_list"]  # with the group, 64 bits tell its lists apart
     rows = (
-        scores.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in [*keys, item]], F.lit(False)) == F.lit(False))
-        .select(*keys, item, F.col(score).cast("double").alias("_s"), F.col(rank).cast("double").alias("_r"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+        scores.where(present)
+        .select(group, F.xxhash64(*ranking).alias("_list"), item, F.col(score).cast("double").alias("_s"), F.col(rank).cast("double").alias("_r"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
         .withColumn("_s", F.when(finite, F.col("_s")))
     )
-    med = lambda c: F.percentile_approx(c, 0.5, params.accuracy)
-    centre = rows.groupBy(*keys).agg(
-        med("_s").alias("_ms"),
-        med("_r").alias("_mr"),
+    grid = F.array(*[F.lit((i + 0.5) / params.quantiles) for i in range(params.quantiles)])
+    quantiles = rows.groupBy(*keys).agg(
+        F.percentile_approx("_s", grid, params.accuracy).alias("_qs"),
+        F.percentile_approx("_r", grid, params.accuracy).alias("_qr"),
         F.when(F.covar_pop("_s", "_r") > 0, -1.0).otherwise(1.0).alias("_sign"),
         F.max("_w").alias("_w"),
     )
-    rows = rows.drop("_w").join(centre, keys)
-    spread = rows.groupBy(*keys).agg(
-        med(F.abs(F.col("_s") - F.col("_ms"))).alias("_ds"),
-        F.avg(F.abs(F.col("_s") - F.col("_ms"))).alias("_as"),
-        med(F.abs(F.col("_r") - F.col("_mr"))).alias("_dr"),
-        F.avg(F.abs(F.col("_r") - F.col("_mr"))).alias("_ar"),
-    )
+    lists = quantiles.select(*keys, "_sign", "_w", *[x for q in ("s", "r") for x in _spread(F.col(f"_q{q}"), q)])
     us = _squash(F.col("_sign") * F.col("_s"), F.col("_sign") * F.col("_ms"), F.col("_ds"), F.col("_as"), params.bound)
     ur = _squash(-F.col("_r"), -F.col("_mr"), F.col("_dr"), F.col("_ar"), params.bound)
     value = F.coalesce((F.ln(us) + F.ln(ur)) / 2, F.ln(us), F.ln(ur))
     in_list = (
-        rows.join(spread, keys)
+        rows.drop("_w").join(lists, keys)
         .select(*keys, item, "_w", value.alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, item)
         .agg(F.max("_v").alias("_v"), F.max("_w").alias("_w"))
     )
-    totals = centre.groupBy(group).agg(F.sum("_w").alias("_wt"))
+    totals = lists.groupBy(group).agg(F.sum("_w").alias("_wt"))
     ln_floor = F.lit(params.floor)
     fused = (
         in_list.groupBy(group, item)
@@ -105,16 +113,16 @@ def fuse_scores(
 
 
 def distinct_evidence(evidence: DataFrame) -> DataFrame:
-    """Stamped evidence, each evidence_id once: of rows sent again the first that arrived.
+    """Stamped evidence, each evidence_id once: of rows sent again the first that arrived. _ranking stands for (query_id, source).
 
     Rows without atomic_claim_id or query_id aren't stamped and are left out. Rows
     without evidence_id can't be told to be repeats and stay, exact copies once.
     """
-    kept = ["atomic_claim_id", "query_id", "source", "chunk_id", "raw_score", "rank"]
-    stamped = evidence.where("atomic_claim_id is not null and query_id is not null and source is not null and chunk_id is not null")
+    kept = ["atomic_claim_id", "_ranking", "chunk_id", "raw_score", "rank"]
+    stamped = evidence.where("atomic_claim_id is not null and query_id is not null and source is not null and chunk_id is not null").withColumn("_ranking", F.xxhash64("query_id", "source"))
     key = F.coalesce("evidence_id", F.concat(F.lit("?"), F.xxhash64(*kept).cast("string")))
     return (
-        stamped.select(key.alias("_id"), F.struct("ingested_at", "recorded_at", *kept).alias("_row"))
+        stamped.select(key.alias("_id"), F.struct("ingested_at", *kept).alias("_row"))
         .groupBy("_id")
         .agg(F.min("_row").alias("_row"))
         .select(*[F.col(f"_row.{c}").alias(c) for c in kept])
@@ -123,7 +131,7 @@ def distinct_evidence(evidence: DataFrame) -> DataFrame:
 
 def rank_evidence(evidence: DataFrame, params: FusionScale = FusionScale()) -> DataFrame:
     """One ranking of chunks per atomic_claim_id, all (query_id, source) lists counting alike."""
-    return fuse_scores(distinct_evidence(evidence), "atomic_claim_id", "chunk_id", ["query_id", "source"], params=params)
+    return fuse_scores(distinct_evidence(evidence), "atomic_claim_id", "chunk_id", ["_ranking"], params=params)
 
 
 def rank_evidence_and_fused(evidence: DataFrame, fused: DataFrame, params: FusionScale = FusionScale()) -> DataFrame:
@@ -134,10 +142,10 @@ def rank_evidence_and_fused(evidence: DataFrame, fused: DataFrame, params: Fusio
     lists = distinct_evidence(evidence)
     earlier = (
         fused.where("atomic_claim_id is not null and chunk_id is not null and rrf_score is not null")
-        .select("atomic_claim_id", F.lit("").alias("query_id"), F.lit("FUSED").alias("source"), "chunk_id", F.col("rrf_score").alias("raw_score"), F.lit(None).cast("int").alias("rank"))
+        .select("atomic_claim_id", F.xxhash64(F.lit(""), F.lit("FUSED")).alias("_ranking"), "chunk_id", F.col("rrf_score").alias("raw_score"), F.lit(None).cast("int").alias("rank"))
         .distinct()
     )
-    return fuse_scores(lists.unionByName(earlier), "atomic_claim_id", "chunk_id", ["query_id", "source"], params=params)
+    return fuse_scores(lists.unionByName(earlier), "atomic_claim_id", "chunk_id", ["_ranking"], params=params)
 
 
 def first_chunk(ranking: DataFrame) -> DataFrame:
