@@ -32,8 +32,8 @@ END = 0
 
 @dataclass(frozen=True)
 class Space:
-    """terms: most frequent ones that shape the space; terms in over ``common`` of the passages aren't telling.
-    dims: kept singular vectors. extra: sketched beyond them. passage: most words of a passage.
+    """terms: that shape the space; words that are over ``common`` of all words aren't telling.
+    dims: kept singular vectors. extra: sketched beyond them. passage: successive terms of a text that make one.
     slots: of the table that finds a word's term by its hash.
     """
 
@@ -41,7 +41,7 @@ class Space:
     dims: int = 64
     extra: int = 16
     passage: int = 16
-    common: float = 0.15
+    common: float = 0.01
     slots: int = 1 << 20
     seed: int = 11
 
@@ -117,14 +117,16 @@ def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def passages(flat: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
-    """Ascending passage number of each word: a new one at each text, END mark, or after ``most`` words."""
-    new = flat == END
-    new[offsets[:-1][np.diff(offsets) > 0]] = True
-    start = np.flatnonzero(new)
-    lengths = np.diff(np.append(start, len(flat)))
-    at = np.arange(len(flat)) - np.repeat(start, lengths)
-    return np.cumsum(new | (at % most == 0))
+def passages(offsets: np.ndarray, most: int) -> np.ndarray:
+    """Ascending passage number of each word of some texts: a new one at each text and after ``most`` words."""
+    counts = np.diff(offsets)
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    return np.cumsum(at % most == 0)
+
+
+def within(offsets: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Offsets of the same lists when only the ``kept`` values stay."""
+    return np.concatenate([[0], np.cumsum(kept)])[offsets]
 
 
 @dataclass(frozen=True)
@@ -139,29 +141,35 @@ class Terms:
         return np.where(words == END, np.int16(-1), found)
 
 
-def telling_terms(words: DataFrame, space: Space) -> Terms:
-    """The most frequent terms below the common share, weighted by ln(passages / occurrences); over all texts."""
+def telling_terms(words: DataFrame, space: Space, chosen: dict[int, float] | None = None) -> Terms:
+    """Terms weighted by ln(texts' words / occurrences), counted over all texts.
+
+    By default the most frequent ones below the common share of words; with ``chosen``
+    those slots, their weights multiplied by the given factors.
+    """
     mask = space.slots - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held = np.zeros(space.slots, dtype=np.int64), 0
+        n = np.zeros(space.slots, dtype=np.int64)
         for b in batches:
-            flat, offsets = unpack(b.column("words"))
-            if len(flat):
-                n += np.bincount(flat[flat != END] & mask, minlength=space.slots)
-                held += len(np.unique(passages(flat, offsets, space.passage)))
+            flat, _ = unpack(b.column("words"))
+            n += np.bincount(flat[flat != END] & mask, minlength=space.slots)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], held))], ["slot", "n"])
-
-    counts = words.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    held = counts.where("slot = -1").first()
-    total = max(int(held["n"]) if held else 0, 1)
-    rows = counts.where((F.col("slot") >= 0) & (F.col("n") <= total * space.common)).orderBy(F.desc("n"), "slot").limit(space.terms).collect()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], n.sum()))], ["slot", "n"])
+
+    counts = words.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))  # at most ``slots`` rows
+    if chosen is None:
+        best = counts.where("slot >= 0").orderBy(F.desc("n"), "slot").limit(2 * space.terms)
+    else:
+        best = counts.where(F.col("slot").isin([int(k) for k in chosen]))
+    rows = best.unionByName(counts.where("slot = -1")).collect()
+    total = max([int(r["n"]) for r in rows if r["slot"] == -1] or [1])
+    rows = sorted((r for r in rows if r["slot"] >= 0 and (chosen is not None or r["n"] <= total * space.common)), key=lambda r: (-r["n"], r["slot"]))[: space.terms]
     slot = np.full(space.slots, -1, dtype=np.int16)
     weight = np.zeros(max(len(rows), 1), dtype=np.float32)
     for i, r in enumerate(rows):
         slot[r["slot"]] = i
-        weight[i] = np.log(total / r["n"])
+        weight[i] = np.log(total / r["n"]) * (1.0 if chosen is None else chosen[r["slot"]])
     return Terms(slot, weight)
 
 
@@ -183,9 +191,9 @@ def _gram_of_partitions(words: DataFrame, terms: Terms, space: Space) -> np.ndar
             flat, offsets = unpack(b.column("words"))
             if not len(flat):
                 continue
-            row, term = passages(flat, offsets, space.passage), terms.of(flat)
+            term = terms.of(flat)
             kept = term >= 0
-            row, term = row[kept], term[kept].astype(np.int64)
+            term, row = term[kept].astype(np.int64), passages(within(offsets, kept), space.passage)
             if not len(row):
                 continue
             w = terms.weight[term]

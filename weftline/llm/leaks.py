@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.latent import END, Space, Terms, singular_vectors, telling_terms, unpack, word_ids, word_table
+from weftline.llm.latent import END, Space, Terms, singular_vectors, telling_terms, unpack, within, word_ids, word_table
 from weftline.session import cut
 
 _SLICE = 120_000
@@ -195,7 +195,7 @@ class _Index:
         names and things it is about.
         """
         near = len(matched) >= 0.8 * (matched[-1] - matched[0] + 1)
-        return bool(near and self.weight[matched].mean() >= 0.9 * self.weight[lo:hi].mean())
+        return bool(near and self.weight[matched].mean() >= self.weight[lo:hi].mean())
 
 
 def _search(index, key: str, item_key: str):
@@ -245,7 +245,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     for k in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", text).collect()  # about p.items rows
         flat, counts = word_ids([r[1] for r in held])
-        counts = np.diff(np.concatenate([[0], np.cumsum(flat != END)])[np.concatenate([[0], np.cumsum(counts)])])
+        counts = np.diff(within(np.concatenate([[0], np.cumsum(counts)]), flat != END))
         flat = flat[flat != END]
         index = spark.sparkContext.broadcast(_Index(np.array([r[0] for r in held], dtype=np.int64), flat, counts, terms, vectors, p))
         part = words.mapInArrow(_search(index, key, item_key), f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} bigint")

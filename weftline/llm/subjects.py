@@ -9,6 +9,7 @@ of the corpus, and a document has each subject that wins a fifth of its sentence
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,31 +26,61 @@ from weftline.session import cut
 @dataclass(frozen=True)
 class Subjects:
     """share: of a document's sentences from which it has a subject. least: fewest words of a sentence.
-    labelled: most labelled documents that seed the centroids, taken by the hash of their id.
-    clusters: of their sentences. pure: share of a cluster's sentences from one subject's documents.
-    rounds: refinements over the whole corpus. cosine: least similarity of a sentence to any centroid.
+    labelled: most labelled documents that weights and centroids are learnt from, taken by the hash of their id.
+    prior: imaginary documents, spread as all are, beside those that hold a term. weight: least of a kept term.
+    clusters: centroids that start in each subject. pure: share of a cluster's sentences from one subject's documents.
+    rounds: refinements over the whole corpus. telling: least length of a sentence's vector, below which it is
+    about nothing. cosine: least similarity of a sentence to its centroid.
     """
 
-    share: float = 0.19
+    share: float = 0.18
     least: int = 3
-    labelled: int = 4_000
-    clusters: int = 200
-    pure: float = 0.6
+    labelled: int = 10_000
+    prior: float = 2.0
+    weight: float = 0.3
+    clusters: int = 12
+    pure: float = 0.5
     rounds: int = 1
+    telling: float = 1.0
     cosine: float = 0.2
     seed: int = 5
-    space: Space = Space(terms=3_000, dims=64, passage=24)
+    space: Space = Space(terms=4_000, dims=64, passage=24)
 
 
-def sentence_vectors(flat: np.ndarray, offsets: np.ndarray, terms: Terms, vectors: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the sentences of at least ``least`` words, the text of each); zero where no term is telling."""
+def subject_terms(flat: np.ndarray, offsets: np.ndarray, has: np.ndarray, p: Subjects) -> dict[int, float]:
+    """Hash slots of the terms that tell subjects apart, and by how much.
+
+    A term's documents are spread over the subjects and "none"; its factor is the divergence
+    of that spread, with a prior, from the spread of all labelled documents. Terms of a single document
+    are names or chance and left out.
+    """
+    of = np.concatenate([has, (has.sum(axis=1) == 0)[:, None]], axis=1)
+    of = of / of.sum(axis=1, keepdims=True)
+    doc = np.repeat(np.arange(len(has)), np.diff(offsets))
+    word = flat != END
+    pair = np.unique((flat[word] & (p.space.slots - 1)).astype(np.int64) * len(has) + doc[word])
+    slots, at = np.unique(pair // max(len(has), 1), return_inverse=True)
+    spread = np.zeros((len(slots), of.shape[1]))
+    np.add.at(spread, at, of[pair % max(len(has), 1)])
+    base = (of.sum(axis=0) + 1e-6) / (of.sum() + 1e-6 * of.shape[1])
+    n = spread.sum(axis=1)
+    share = (spread + p.prior * base) / (n + p.prior)[:, None]
+    factor = (share * np.log(share / base)).sum(axis=1)
+    order = [k for k in np.argsort(-factor * np.minimum(n, 20), kind="stable")[: p.space.terms] if n[k] > 1.5 and factor[k] > 0]
+    return {int(slots[k]): float(factor[k]) for k in order}
+
+
+def sentence_vectors(flat: np.ndarray, offsets: np.ndarray, terms: Terms, vectors: np.ndarray, p: Subjects) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the sentences, the text of each); zero for a sentence that is about nothing.
+
+    Stretches of fewer than ``least`` words, as after an abbreviation, are no sentences.
+    """
     new = flat == END
     new[offsets[:-1][np.diff(offsets) > 0]] = True
     start = np.flatnonzero(new)
     if not len(start):
         return np.zeros((0, vectors.shape[1]), np.float32), start
-    word = flat != END
-    size = np.add.reduceat(word.astype(np.int32), start)
+    size = np.add.reduceat((flat != END).astype(np.int32), start)
     term = terms.of(flat)
     owner = np.searchsorted(offsets, start, "right") - 1
     kept = term >= 0
@@ -59,8 +90,8 @@ def sentence_vectors(flat: np.ndarray, offsets: np.ndarray, terms: Terms, vector
         first = np.flatnonzero(np.diff(at, prepend=-1))
         out[at[first]] = np.add.reduceat(vectors[term[kept]], first)
     norm = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
-    np.divide(out, norm, out=out, where=norm > 1e-6)
-    whole = size >= least
+    out = np.divide(out, norm, out=np.zeros_like(out), where=norm >= p.telling)
+    whole = size >= p.least
     return out[whole], owner[whole]
 
 
@@ -68,27 +99,40 @@ def seed_centroids(x: np.ndarray, owner: np.ndarray, has: np.ndarray, own: np.nd
     """(centroids, subject of each or -1) from labelled sentences.
 
     x: sentences, owner: their document, has: documents x subjects, own: one vector per
-    subject from its name and description. Spherical k-means; then a cluster goes to the subject with the
-    largest share of its sentences in documents that have it, if that share is ``pure``. A
-    subject that wins no cluster keeps its description as centroid.
+    subject from its name and description. Each subject's sentences give seeds far from one
+    another, so that its languages and sides all have some; spherical k-means follows. A
+    cluster goes to the subject with the largest share of its sentences in documents
+    that have it, if that share is ``pure``. A subject that wins no cluster keeps its description.
     """
     rng = np.random.default_rng(p.seed)
     filled = np.flatnonzero(x.any(axis=1))
     x, owner = x[filled], owner[filled]
+    seeds = []
+    for s in range(len(own)):
+        mine = x[has[owner, s] > 0] if len(x) else x
+        if not len(mine):
+            continue
+        seeds.append(mine[rng.integers(len(mine))])
+        away = 1 - mine @ seeds[-1]
+        for _ in range(p.clusters - 1):
+            odds = np.maximum(away, 0) ** 2
+            if odds.sum() <= 1e-9:
+                break
+            seeds.append(mine[rng.choice(len(mine), p=odds / odds.sum())])
+            away = np.minimum(away, 1 - mine @ seeds[-1])
     centres, subject = own[:0], np.zeros(0, dtype=np.int64)
-    if len(x):
-        centres = x[rng.choice(len(x), min(p.clusters, len(x)), replace=False)]
-        for _ in range(12):
+    if seeds:
+        centres = np.array(seeds)
+        for _ in range(8):
             at = np.argmax(x @ centres.T, axis=1)
             sums = np.zeros_like(centres)
             np.add.at(sums, at, x)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
         at = np.argmax(x @ centres.T, axis=1)
-        n = np.maximum(np.bincount(at, minlength=len(centres)), 1)
         held = np.zeros((len(centres), has.shape[1]))
         np.add.at(held, at, has[owner])
-        held /= n[:, None]
+        held /= np.maximum(np.bincount(at, minlength=len(centres)), 1)[:, None]
         subject = np.where(held.max(axis=1) >= p.pure, held.argmax(axis=1), -1)
     missing = [s for s in range(len(own)) if s not in set(subject.tolist()) and own[s].any()]
     return np.concatenate([centres, own[missing]]).astype(np.float32), np.concatenate([subject, missing]).astype(np.int64)
@@ -101,7 +145,7 @@ def _refine_partition(sent, p: Subjects):
         terms, vectors, centres, _ = sent.value
         total = np.zeros(centres.shape, dtype=np.float64)
         for b in batches:
-            x, _ = sentence_vectors(*unpack(b.column("words")), terms, vectors, p.least)
+            x, _ = sentence_vectors(*unpack(b.column("words")), terms, vectors, p)
             if not len(x):
                 continue
             near = x @ centres.T
@@ -121,7 +165,7 @@ def _score_partition(sent, key: str, p: Subjects, labels: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, vectors, centres, subject = sent.value
         for b in batches:
-            x, owner = sentence_vectors(*unpack(b.column("words")), terms, vectors, p.least)
+            x, owner = sentence_vectors(*unpack(b.column("words")), terms, vectors, p)
             rows, found, share = [], [], []
             if len(x):
                 near = x @ centres.T
@@ -152,24 +196,25 @@ def document_subjects(
     p = params
     spark = docs.sparkSession
     words = cut(word_table(docs.where(f"{key} is not null"), key, text, ends=True))
-    terms = telling_terms(words, p.space)
-    vectors = singular_vectors(words, terms, p.space)
-    vectors = (terms.weight[:, None] * vectors).astype(np.float32)
     named = areas.where("subject is not null").select(F.lower(F.trim("subject")).alias("s"), F.concat_ws(" ", "subject", "description").alias("d")).groupBy("s").agg(F.min("d").alias("d")).orderBy("s").collect()  # the list of subjects
     subjects = [r["s"] for r in named]
-    flat, counts = word_ids([r["d"] for r in named])
-    own = np.zeros((len(subjects), p.space.dims), dtype=np.float32)
-    x, at = sentence_vectors(flat, np.concatenate([[0], np.cumsum(counts)]), terms, vectors, 1)
-    np.add.at(own, at, x)
+    own_flat, own_counts = word_ids([r["d"] for r in named])
+    own_offsets = np.concatenate([[0], np.cumsum(own_counts)])
     said = labels.where(F.col(key).isNotNull() & F.col("subject").isNotNull()).groupBy(key).agg(F.collect_set(F.lower(F.trim("subject"))).alias("said"))
     sample = said.orderBy(F.xxhash64(F.col(key)), key).limit(p.labelled)
-    held = words.join(F.broadcast(sample), key).toPandas()  # at most p.labelled documents
-    if len(held):
-        has = np.array([[s in set(v) for s in subjects] for v in held["said"]], dtype=np.float64).reshape(len(held), len(subjects))
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in held["words"]])])
-        x, owner = sentence_vectors(np.concatenate(held["words"].tolist()).astype(np.int32), offsets, terms, vectors, p.least)
-    else:
-        has, x, owner = np.zeros((0, len(subjects))), own[:0], np.zeros(0, dtype=np.int64)
+    held = words.join(F.broadcast(sample), key).orderBy(key).toPandas()  # at most p.labelled documents
+    has = np.array([[s in set(v) for s in subjects] for v in held["said"]], dtype=np.float64).reshape(len(held), len(subjects))
+    has = np.concatenate([has, np.repeat(np.eye(len(subjects)), 2, axis=0)])  # the descriptions count as documents, twice as names don't
+    flat = np.concatenate([*held["words"], *[own_flat[own_offsets[k] : own_offsets[k + 1]] for k in range(len(subjects)) for _ in (0, 1)], []]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum([*map(len, held["words"]), *np.repeat(own_counts, 2)])]).astype(np.int64)
+    terms = telling_terms(words, p.space, subject_terms(flat, offsets, has, p))
+    terms.slot[np.isin(terms.slot, np.flatnonzero(terms.weight < p.weight))] = -1
+    vectors = singular_vectors(words, terms, p.space)
+    vectors = (terms.weight[:, None] * vectors).astype(np.float32)
+    own = np.zeros((len(subjects), p.space.dims), dtype=np.float32)
+    x, at = sentence_vectors(own_flat, own_offsets, terms, vectors, dataclasses.replace(p, least=1, telling=1e-6))
+    np.add.at(own, at, x)
+    x, owner = sentence_vectors(flat, offsets, terms, vectors, p)
     centres, subject = seed_centroids(x, owner, has, own, p)
     for _ in range(p.rounds):
         sent = spark.sparkContext.broadcast((terms, vectors, centres, subject))
