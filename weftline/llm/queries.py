@@ -58,6 +58,12 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_claims(table(spark, d, "claim_rows"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.name_variants import variant_mentions
+
+    return variant_mentions(table(spark, d, "raw_entity_mentions"), table(spark, d, "entity_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.lookalikes import match_lookalikes
 
@@ -77,6 +83,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mention_groups(table(spark, d, "mention_matches"), table(spark, d, "raw_entity_mentions"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.containers import pack
+
+    return pack(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.containers import Packing, fill_report, pack
+
+    return fill_report(pack(table(spark, d, "documents")), Packing().capacity)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.leaks import find_leaks
 
@@ -96,4 +114,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return corpus_composition(docs, document_subjects(docs, table(spark, d, "subject_areas"), table(spark, d, "subject_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p6_found, p6_groups, p7_found, p9_found, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p5_found, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p10_found, p10_composition)}
