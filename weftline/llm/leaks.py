@@ -36,12 +36,12 @@ class Leaks:
     passage: int = 12
     window: int = 8
     stride: int = 5
-    cosine: float = 0.85
+    cosine: float = 0.9
     agree: int = 6
     told: float = 0.75
     cells: int = 96
-    probes: int = 3
-    nearest: float = 0.4
+    probes: int = 2
+    nearest: float = 0.45
     sure: int = 15
     items: int = 20_000
     space: Space = Space(dims=48)
@@ -113,6 +113,8 @@ class _Index:
             self.bounds = np.searchsorted(cell[order], np.arange(len(self.centres) + 1))
         term = terms.of(flat)  # a word that is no term is rarer than all terms
         self.weight = np.where(term >= 0, terms.weight[term], terms.weight.max()).astype(np.float32)
+        after = np.concatenate([self.weight, np.zeros(p.window, np.float32)])
+        self.peak = np.argmax([after[w : w + len(flat)] for w in range(p.window)], axis=0) if len(flat) else np.zeros(0, np.int64)
         summed = np.concatenate([[0], np.cumsum(self.weight)])
         at = np.arange(len(flat))
         self.told = (summed[np.minimum(at + p.window, len(flat))] - summed[at]).astype(np.float32)
@@ -145,6 +147,9 @@ class _Index:
                 part = rows[at : at + 20_000]
                 i, j = np.nonzero(x[part] @ self.x[lo:hi].T >= p.cosine)
                 a, b = pos[part[i]], self.pos[lo + j]
+                peak = self.peak[b]
+                ok = self._same(flat, a + peak, b + peak)  # its most telling word first
+                a, b = a[ok], b[ok]
                 same, weight = np.zeros(len(a), dtype=np.int8), np.zeros(len(a), dtype=np.float32)
                 for w in range(p.window):
                     hit = self._same(flat, a + w, b + w)
