@@ -103,7 +103,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_search(_items(spark, d), chunks_of(spark, d)).select("query_id", "chunk_id", F.round("raw_score", 4).alias("raw_score"))
+    return lexical.bm25_search(_items(spark, d), chunks_of(spark, d)).select("query_id", "chunk_id", F.round("raw_score", 3).alias("raw_score"))
 
 
 def query_builder(spark: SparkSession, d: str) -> DataFrame:
