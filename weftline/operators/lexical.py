@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.config import Retrieval
 from weftline.functions.text import tokens
+from weftline.session import cut
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -23,23 +30,70 @@ def term_statistics(index: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrie
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Queries scored at once, and words of a batch of chunks whose rows of scores are held at once.
+QUERY_BLOCK = 500
+_WORD = re.compile(r"[a-z0-9]+")
+
+
+def _scores(sent, cfg: Retrieval):
+    """Partition of chunks to the rows that can be among the best of each query in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, row, weight, avgdl = sent.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                terms, tfs, owner = [], [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    words = _WORD.findall(t.lower()) if t else ()
+                    norm = cfg.k1 * (1 - cfg.b + cfg.b * len(words) / avgdl)
+                    for w, tf in Counter(words).items():
+                        if (k := row.get(w)) is not None:
+                            terms.append(k)
+                            tfs.append(tf * (cfg.k1 + 1) / (tf + norm))
+                            owner.append(i)
+                if not terms:
+                    continue
+                at = np.array(owner)
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                s = np.round(np.add.reduceat(weight[terms] * np.array(tfs)[:, None], first), 6)
+                n = min(cfg.top_k, len(s))
+                kth = -np.partition(-s, n - 1, axis=0)[n - 1]
+                r, q = np.nonzero((s >= kth) & (s > 0))  # ties at the k-th place stay for the final order
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(at[first][r])), pa.array(s[r, q])], ["query_id", "chunk_id", "raw_score"])
+
+    return run
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
     """(query_id, chunk_id, raw_score, rank): the best chunks of each query (query_id, text), ties by chunk_id.
 
     A query's terms count as often as it has them. Chunks without a common term score 0 and fill
-    up to top_k in the order of their ids; of those only the 2 * top_k smallest ids can be needed,
-    so no query meets every chunk.
+    up to top_k in the order of their ids; of those only the 2 * top_k smallest ids can be needed.
+    Queries go out in blocks of bounded number; each partition of chunks multiplies its weighted
+    terms with a block and passes on only what can be among the best, so a word that is in
+    every chunk and every query costs no shuffle.
     """
+    spark = chunks.sparkSession
+    chunks = chunks.select("chunk_id", "text")
     index = postings(chunks)
-    stats = term_statistics(index, chunks, cfg)
-    length = chunks.agg(F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(stats.select("term", "idf"), "term")
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    scored = index.join(weighted, "term").crossJoin(F.broadcast(length)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("raw_score"))
+    asked = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    weighted = cut(asked.join(term_statistics(index, chunks, cfg).select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    avgdl = chunks.agg(F.avg(F.size(tokens(F.col("text"))))).first()[0] or 1.0
+    kinds = {c: queries.schema["query_id"].dataType.simpleString() if c == "query_id" else chunks.schema["chunk_id"].dataType.simpleString() for c in ("query_id", "chunk_id")}
+    blocks = max(1, -(-weighted.select("query_id").distinct().count() // QUERY_BLOCK))
     smallest = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * cfg.top_k)
-    filler = queries.select("query_id").distinct().crossJoin(F.broadcast(smallest)).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"))
-    best = scored.unionByName(filler).groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
+    best = queries.select("query_id").distinct().crossJoin(F.broadcast(smallest)).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"))
+    for i in range(blocks):
+        held = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # the terms of about QUERY_BLOCK queries
+        if not len(held):
+            continue
+        ids, q = np.unique(held["query_id"].to_numpy(), return_inverse=True)
+        row = {t: k for k, t in enumerate(held["term"].unique())}
+        weight = np.zeros((len(row), len(ids)))
+        weight[held["term"].map(row).to_numpy(), q] = held["w"]
+        sent = spark.sparkContext.broadcast((ids, row, weight, float(avgdl)))
+        best = best.unionByName(chunks.mapInArrow(_scores(sent, cfg), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"))
+    best = best.groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.top_k)
