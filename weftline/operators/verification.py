@@ -9,6 +9,10 @@ from weftline.config import Rules
 from weftline.functions.text import tokens
 
 
+# What a pair's label says of the claim as a fact.
+FACT_LABELS = {"ENTAILMENT": "SUPPORTED", "CONTRADICTION": "CONTRADICTED", "NEUTRAL": "NOT_MENTIONED"}
+
+
 def lexical_labels(pairs: DataFrame, premise: str = "premise", hypothesis: str = "hypothesis") -> DataFrame:
     """``pairs`` with label and score by the share of the hypothesis's words the premise holds.
 

@@ -181,4 +181,15 @@ SQL = {
     "graph_fingerprint": "select source_id, sha256(string_agg('E:' || entity_id || ':' || canonical_name || ':' || entity_type, chr(10) order by entity_id, canonical_name, entity_type)) as fingerprint from (select distinct source_id, entity_id, canonical_name, entity_type from entity_records) group by 1",
     "nli_premises": "select mention_id, sha256(coalesce(nullif(array_to_string(q, ' '), ''), '(no supporting quote)')) as premise_digest from (select mention_id, min(evidence_quotes) as q from raw_entity_mentions where mention_id is not null group by 1)",
     "stratified_sample": "with c as (select distinct id::bigint as id, split, label from claim_rows), s0 as (select split, label, count(*) as g from c group by 1, 2), s as (select *, row_number() over (order by split nulls first, label nulls first) as i from s0), q as (select *, round_even(100.0 * g / (select sum(g) from s), 0)::bigint as q, (select count(*) from s) as m from s), f as (select split, label, case when i = m then greatest(100 - coalesce(sum(q) over (order by i rows between unbounded preceding and 1 preceding), 0), 0) else q end as q from q) select id from (select id, split, label, row_number() over (partition by split, label order by id) as p from c) a join f on a.split is not distinct from f.split and a.label is not distinct from f.label where p <= q",
+    "graph_entry": f"with {GRAPH}, {BOTH} select query_id, entity_id from h0",
+    "label_map": f"with {LABELS} select label, case label when 'ENTAILMENT' then 'SUPPORTED' when 'CONTRADICTION' then 'CONTRADICTED' else 'NOT_MENTIONED' end as fact_label, count(*) as n from lb group by label",
+    "parse_questions": f"with {CLAIMS}, q as (select claim_id as atomic_claim_id, 'Is it stated that ' || regexp_replace(text, '[.!?]+$', '') || '?' as t from cl), m as (select atomic_claim_id, trim(min(t)) as text from q group by 1) select atomic_claim_id, 0::bigint as position, text, {_id('atomic_claim_id', chr(39) + '0' + chr(39), 'text')} as question_id from m",
+    "fact_verdicts": f"with {CITED} select atomic_claim_id, kind, count(*) as n, max(nli_score) as best, arg_min(evidence_chunk_id, (-nli_score, evidence_chunk_id)) as chunk_id from ci group by all",
 }
+SQL["macro_averages"] = f"select count(*) as n_claims, round(avg(mrr), 5) as mrr, round(avg(recall_5), 5) as recall_5, round(avg(precision_5), 5) as precision_5, round(avg(recall_10), 5) as recall_10, round(avg(precision_10), 5) as precision_10 from ({SQL['retrieval_metrics']})"
+SQL["retrieve_stamped"] = (
+    f"with {BM25}, qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({_toks('text')}) as term from (select distinct item_id, text from benchmark)) group by all), "
+    "sc as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as s from po join qt using (term) join st using (term), nn group by all), "
+    "rk as (select query_id::varchar as q, chunk_id, row_number() over (partition by query_id order by coalesce(s, 0) desc, chunk_id) as rank from (select distinct item_id as query_id from benchmark) cross join c left join sc using (query_id, chunk_id) qualify rank <= 10) "
+    f"select {_id('q', chr(39) + 'LEXICAL' + chr(39), 'chunk_id', 'rank::varchar')} as evidence_id, q as atomic_claim_id, chunk_id, rank from rk"
+)

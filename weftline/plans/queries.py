@@ -422,6 +422,40 @@ def nli_premises(spark: SparkSession, d: str) -> DataFrame:
     return q.select("mention_id", F.sha2(premise, 256).alias("premise_digest"))
 
 
+def graph_entry(spark: SparkSession, d: str) -> DataFrame:
+    _, ents, _ = _graph(spark, d)
+    return graph.entry_entities(_items(spark, d), ents)
+
+
+def label_map(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.create_map(*[F.lit(x) for pair in V.FACT_LABELS.items() for x in pair])[F.col("label")]
+    return _labelled(spark, d).groupBy("label", kind.alias("fact_label")).agg(F.count("*").alias("n"))
+
+
+def macro_averages(spark: SparkSession, d: str) -> DataFrame:
+    r = metrics.retrieval_metrics(fusion.rrf(stamped(spark, d)), _gold(spark, d))
+    return r.agg(F.count("*").alias("n_claims"), *[F.round(F.avg(c), 5).alias(c) for c in ("mrr", "recall_5", "precision_5", "recall_10", "precision_10")])
+
+
+def retrieve_stamped(spark: SparkSession, d: str) -> DataFrame:
+    q = _items(spark, d).select(F.col("query_id").cast("string").alias("query_id"), F.col("query_id").cast("string").alias("atomic_claim_id"), "text")
+    hits = lexical.bm25_search(q.select("query_id", "text"), chunks_of(spark, d))
+    return retrieval.stamp(hits, q, "LEXICAL").select("evidence_id", "atomic_claim_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def parse_questions(spark: SparkSession, d: str) -> DataFrame:
+    q = retrieval.probe_questions(claims_of(spark, d))
+    made = q.groupBy("atomic_claim_id").agg(F.to_json(F.array(F.min("text"), F.upper(F.min("text")), F.lit("Not a question."))).alias("answer"))
+    good, _ = parsing.parse_list(made, "atomic_claim_id", "answer", fenced=False, questions=True, most=5)
+    return good.select("atomic_claim_id", F.col("index").cast("bigint").alias("position"), "text", F.col("item_id").alias("question_id"))
+
+
+def fact_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Claims' statuses as facts with the best evidence's score."""
+    c = V.cited_evidence(_classified(spark, d), _labelled(spark, d), LOOSE)
+    return c.groupBy("atomic_claim_id", "kind").agg(F.count("*").alias("n"), F.max("nli_score").alias("best"), F.min_by("evidence_chunk_id", F.struct(-F.col("nli_score"), F.col("evidence_chunk_id"))).alias("chunk_id"))
+
+
 def verify_claims(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.pipeline import verify
 
@@ -434,5 +468,5 @@ QUERIES = {f.__name__: f for f in (
     verdict_lenient, verdict_diff, threshold_sweep, score_histogram, confusion, verdict_metrics, retrieval_metrics, citation_metrics, stage_latency, ablation_deltas, retrieval_coverage, stratified_sample,
     order_statistics, failure_modes, ledger_fk_violations, ledger_write_once, ledger_fingerprint, checkpoint_resume, mentions, cooccurrence_edges, graph_topology, graph_bfs_1hop, graph_bfs_2hop, relation_collapse,
     normalize_names, merge_keys, qualifier_tags, ambiguous_keys, er_components, canonical_entities, quote_exact, quote_places, quote_trust_boundary, chapter_spans, extraction_windows, relations_resolved,
-    graph_fingerprint, nli_premises, verify_claims,
+    graph_fingerprint, nli_premises, graph_entry, label_map, macro_averages, retrieve_stamped, parse_questions, fact_verdicts, verify_claims,
 )}
