@@ -95,6 +95,11 @@ def sentence_vectors(flat: np.ndarray, offsets: np.ndarray, terms: Terms, vector
     return out[whole], owner[whole]
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre of the largest cosine for each row, in slices of bounded memory."""
+    return np.concatenate([np.argmax(x[k : k + 20_000] @ centres.T, axis=1) for k in range(0, len(x), 20_000)] or [np.zeros(0, dtype=np.int64)])
+
+
 def seed_centroids(x: np.ndarray, owner: np.ndarray, has: np.ndarray, own: np.ndarray, p: Subjects) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, subject of each or -1) from labelled sentences.
 
@@ -124,12 +129,12 @@ def seed_centroids(x: np.ndarray, owner: np.ndarray, has: np.ndarray, own: np.nd
     if seeds:
         centres = np.array(seeds)
         for _ in range(8):
-            at = np.argmax(x @ centres.T, axis=1)
+            at = _nearest(x, centres)
             sums = np.zeros_like(centres)
             np.add.at(sums, at, x)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
-        at = np.argmax(x @ centres.T, axis=1)
+        at = _nearest(x, centres)
         held = np.zeros((len(centres), has.shape[1]))
         np.add.at(held, at, has[owner])
         held /= np.maximum(np.bincount(at, minlength=len(centres)), 1)[:, None]
@@ -214,7 +219,14 @@ def document_subjects(
     own = np.zeros((len(subjects), p.space.dims), dtype=np.float32)
     x, at = sentence_vectors(own_flat, own_offsets, terms, vectors, dataclasses.replace(p, least=1, telling=1e-6))
     np.add.at(own, at, x)
-    x, owner = sentence_vectors(flat, offsets, terms, vectors, p)
+    del held
+    parts = []
+    for lo in range(0, len(has), 500):  # in slices, as every word's vector is held for a moment
+        cut_at = offsets[lo : lo + 501]
+        x, at = sentence_vectors(flat[cut_at[0] : cut_at[-1]], cut_at - cut_at[0], terms, vectors, p)
+        parts.append((x[x.any(axis=1)], at[x.any(axis=1)] + lo))
+    x, owner = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    del parts, flat
     centres, subject = seed_centroids(x, owner, has, own, p)
     for _ in range(p.rounds):
         sent = spark.sparkContext.broadcast((terms, vectors, centres, subject))
