@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from weftline.llm.latent import END, Space, singular_vectors, telling_terms, word_ids, word_table, words_of
-from weftline.llm.leaks import Leaks, alignment, find_leaks
+from weftline.llm.leaks import Leaks, _Index, alignment, find_leaks
 from weftline.llm.subjects import Subjects, corpus_composition, document_subjects
 
 SPACE = Space(terms=300, dims=16, extra=8, common=0.2)
@@ -72,6 +72,24 @@ def test_leaks(spark):
         Leaks(window=10, stride=5)
 
 
+def test_equal_passages_count_whatever_their_words(spark):
+    docs, items, want = corpus(7)
+    plain = "that it was for the one who in a way had been".split()  # words of every text
+    docs = [(i, f"{t} {' '.join(3 * (plain[i % 5 :] + plain[: i % 5]))}.") for i, t in docs]
+    held = items[0][1].split()
+    items[0] = (0, " ".join([*held[:10], "before", *plain[::-1], "after", *held[10:]]))
+    passage, echo = " ".join(plain[::-1][:12]), " ".join(plain[::-1][:11])
+    docs[21], docs[22] = (21, f"{docs[21][1]} {passage} {docs[60][1]}"), (22, f"{docs[22][1]} {echo} {docs[61][1]}")
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    p = Leaks(space=dataclasses.replace(SPACE, common=0.0135))
+    terms = telling_terms(word_table(d, "doc_id", "text", False), p.space)
+    ids, _ = word_ids([items[0][1]])
+    ids = ids[ids != END]
+    weight = _Index(np.array([0]), ids, np.array([len(ids)]), terms, np.zeros((len(terms.weight), 2), np.float32), p).weight
+    assert not weight[11:23].any() and weight[0] > 0 and weight[10] == weight.max()
+    assert {tuple(r) for r in find_leaks(d, b, params=p).collect()} == want | {(21, 0)}
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert alignment(a, a)[0] == 6

@@ -131,10 +131,11 @@ def within(offsets: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Terms:
-    """slot: term of each hash slot, -1 for none. weight: idf of each term."""
+    """slot: term of each hash slot, -1 for none. weight: idf of each term. common: slots of the words that are too common for a term."""
 
     slot: np.ndarray
     weight: np.ndarray
+    common: np.ndarray
 
     def of(self, words: np.ndarray) -> np.ndarray:
         found = self.slot[words & (len(self.slot) - 1)]
@@ -164,13 +165,14 @@ def telling_terms(words: DataFrame, space: Space, chosen: dict[int, float] | Non
         best = counts.where(F.col("slot").isin([int(k) for k in chosen]))
     rows = best.unionByName(counts.where("slot = -1")).collect()
     total = max([int(r["n"]) for r in rows if r["slot"] == -1] or [1])
+    common = np.array([r["slot"] for r in rows if r["slot"] >= 0 and chosen is None and r["n"] > total * space.common], dtype=np.int64)
     rows = sorted((r for r in rows if r["slot"] >= 0 and (chosen is not None or r["n"] <= total * space.common)), key=lambda r: (-r["n"], r["slot"]))[: space.terms]
     slot = np.full(space.slots, -1, dtype=np.int16)
     weight = np.zeros(max(len(rows), 1), dtype=np.float32)
     for i, r in enumerate(rows):
         slot[r["slot"]] = i
         weight[i] = np.log(total / r["n"]) * (1.0 if chosen is None else chosen[r["slot"]])
-    return Terms(slot, weight)
+    return Terms(slot, weight, common)
 
 
 _BLOCK = 64

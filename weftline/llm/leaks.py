@@ -5,6 +5,7 @@ space of the corpus (TF-IDF, randomised SVD). Windows of high cosine are candida
 they are held against the words themselves, and the texts around those that pass are
 aligned with the item by longest common subsequence within a band. An alignment of
 barely enough words must also hold words that answer for this item, not stock phrases.
+Equal windows are candidates wherever they lie, and a run of equal words that makes a passage is a case whatever it holds.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _SLICE = 120_000
 
 @dataclass(frozen=True)
 class Leaks:
-    """passage: successive words that make a case. window, stride: words of a window, and between the starts of
+    """passage: successive words that make a case, without any other check when all are equal. window, stride: words of a window, and between the starts of
     a text's windows; window + stride - 1 <= passage, so each such run holds a whole window. Items have a window at
     every word. cosine: of candidates. agree: words of a candidate window that stand in the same order. told: their share of the window's weight. cells,
     probes: the items' windows are in cells by k-means, of which a text's window visits the nearest.
@@ -102,6 +103,9 @@ class _Index:
         owner = np.repeat(np.arange(len(ids)), counts)
         pos = np.arange(len(flat) - p.window + 1)
         pos = pos[owner[pos] == owner[pos + p.window - 1]] if len(flat) >= p.window else pos[:0]
+        marks = self._marks(flat, pos)
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.marked = marks[order], pos[order]
         x = self.place(flat, pos)
         kept = x.any(axis=1)
         self.pos, x = pos[kept], x[kept]
@@ -111,8 +115,9 @@ class _Index:
             order = np.argsort(cell, kind="stable")
             self.pos, self.x = self.pos[order], x[order]
             self.bounds = np.searchsorted(cell[order], np.arange(len(self.centres) + 1))
-        term = terms.of(flat)  # a word that is no term is rarer than all terms
-        self.weight = np.where(term >= 0, terms.weight[term], terms.weight.max()).astype(np.float32)
+        term = terms.of(flat)  # a word that is no term is rarer than all terms, or so common that it tells nothing
+        other = np.where(np.isin(flat & (len(terms.slot) - 1), terms.common), 0, terms.weight.max())
+        self.weight = np.where(term >= 0, terms.weight[term], other).astype(np.float32)
         after = np.concatenate([self.weight, np.zeros(p.window, np.float32)])
         self.peak = np.argmax([after[w : w + len(flat)] for w in range(p.window)], axis=0) if len(flat) else np.zeros(0, np.int64)
         summed = np.concatenate([[0], np.cumsum(self.weight)])
@@ -128,12 +133,29 @@ class _Index:
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-6)
 
+    def _marks(self, flat: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin at ``pos``."""
+        h = np.zeros(len(pos), dtype=np.uint64)
+        for j in range(self.p.window):
+            h = (h ^ flat[pos + j].astype(np.uint32)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _equal(self, flat: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in flat, positions in the items) of equal windows."""
+        marks = self._marks(flat, pos)
+        lo = np.searchsorted(self.marks, marks)
+        hit = np.flatnonzero(self.marks.take(lo, mode="clip") == marks) if len(self.marks) else lo[:0]
+        lo, n = lo[hit], np.searchsorted(self.marks, marks[hit], "right") - lo[hit]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(pos[hit], n), self.marked[at]
+
     def candidates(self, flat: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in flat, positions in the items) of window pairs of like meaning and mostly equal words."""
+        """(positions in flat, positions in the items) of window pairs that are equal, or of like meaning and mostly equal words."""
         p = self.p
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = [self._equal(flat, pos)]
         if not len(self.pos) or not len(pos):
-            return pos[:0], pos[:0]
+            return found[0]
         x = self.place(flat[pos[0] : pos[-1] + p.window], pos - pos[0])
         near = x @ self.centres.T
         k = min(p.probes, near.shape[1])
@@ -165,8 +187,6 @@ class _Index:
                 a, b = a[ok], b[ok]
                 if len(a):
                     found.append((a, b))
-        if not found:
-            return pos[:0], pos[:0]
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def _same(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,8 +201,12 @@ class _Index:
         for item in np.unique(owner):
             lo, hi = self.starts[item], self.starts[item + 1]
             mine = owner == item
+            pairs = sorted(set(zip(at[mine].tolist(), b[mine].tolist())))
+            if any(self._run(words, a, q, lo, hi) >= p.passage for a, q in pairs):
+                out.append(int(item))
+                continue
             tried = -1
-            for a, q in sorted(set(zip(at[mine].tolist(), b[mine].tolist()))):
+            for a, q in pairs:
                 if a < tried:
                     continue  # within the stretch that was just aligned
                 begin, end = max(0, a - (q - lo) - 12), min(len(words), a + (hi - q) + 12)
@@ -193,8 +217,16 @@ class _Index:
                     break
         return out
 
+    def _run(self, words: np.ndarray, a: int, q: int, lo: int, hi: int) -> int:
+        """Number of equal successive words, of which one is at ``a`` in the text and ``q`` in the items."""
+        if words[a] != self.flat[q]:
+            return 0
+        begin, end = max(-self.p.passage, -a, lo - q), min(self.p.passage, len(words) - a, hi - q)
+        off = np.flatnonzero(words[a + begin : a + end] != self.flat[q + begin : q + end]) + begin
+        return int(min(off[off > 0], default=end) - max(off[off < 0], default=begin - 1)) - 1
+
     def _answers(self, matched: np.ndarray, lo: int, hi: int) -> bool:
-        """Whether few matched words make a passage of this item: close together, and as telling as its words are on the whole.
+        """Whether few matched words, with others between them, make a passage of this item: close together, and as telling as its words are on the whole.
 
         Stock phrases are of common words, and agree with gaps; a passage also has the
         names and things it is about.
