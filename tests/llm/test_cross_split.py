@@ -51,6 +51,16 @@ def test_against_brute_force(spark):
     assert len(want) >= 30 and got == want
 
 
+def test_short_statement_behind_lead_in(spark):
+    short = "Marwin Fondudund transposed the violin instead of the harmonic serenade"
+    rows = [
+        ("1", "b", "A B", short, "train"), ("2", "b", "A B", f"According to the book, {short}.", "test"), ("3", "b", "A B", f"It is said that {short.replace('violin', 'vioiln')}.", "test"),
+        ("4", "b", "A B", "According to the book, the miller fetched a broom for the silent chapel", "test"), ("5", "b", "A B", f"{short} {A} {B}", "test"), ("6", "b", "A B", "Marwin Fondudund transposed the broom while the twins watched the gate", "test"),
+        ("7", "b", "A B", "The baker met the cook", "train"), ("8", "b", "A B", "They say that the baker met the cook", "test"),
+    ]
+    assert {(r.eval_id, r.train_id) for r in repeated_claims(claims(spark, rows)).collect()} == {(2, 1), (3, 1), (8, 7)}
+
+
 def test_long_texts(spark):
     long = " ".join(f"w{i % 997}" for i in range(5000))
     got = repeated_claims(claims(spark, [("1", "b", "A B", long, "train"), ("2", "b", "A B", long + " end", "test")])).collect()

@@ -16,7 +16,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import StructType
 
 from weftline.llm.lookalikes import skeleton
 from weftline.session import cut
@@ -30,13 +30,16 @@ _WORDS = r"[\p{L}\p{N}]+"
 @dataclass(frozen=True)
 class Overlap:
     """words: of an n-gram that finds candidates; short, as a misspelling in each line leaves few longer runs.
-    found: share of an evaluation record's n-grams that a candidate holds at least.
-    same: containment, in the longer of two texts, from which they are the same statement.
+    found: share of an evaluation record's n-grams that a candidate holds at least; low, as a lead-in and a misspelling each take three or four.
+    same: containment, in the longer of two texts, from which they are the same statement. held, most: containment in the shorter and in
+    the longer, from which the longer is the same statement with a lead-in; a shared opening, or a short text within a far longer one, isn't.
     """
 
     words: int = 3
-    found: float = 0.3
-    same: float = 0.75
+    found: float = 0.2
+    same: float = 0.6
+    held: float = 0.75
+    most: float = 0.5
 
 
 def subject_keys(name: Column) -> Column:
@@ -59,14 +62,19 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def statement_similarity(a: str, b: str) -> float:
-    """Share of the longer statement's word pairs that the other holds too, 0 to 1.
+    """Share of the longer statement's word pairs that the other holds too, 0 to 1."""
+    return statement_shares(a, b)[0]
+
+
+def statement_shares(a: str, b: str) -> tuple[float, float]:
+    """Shares of the longer and of the shorter statement's word pairs that the other holds too, 0 to 1.
 
     Words of ``a`` that only ``b`` lacks are replaced by b's closest word of like
     spelling before pairs are compared. Sentences may stand in another order.
     """
     wa, wb = re.findall(r"[^\W_]+", a.lower()), re.findall(r"[^\W_]+", b.lower())
     if not wa or not wb:
-        return 1.0 if wa == wb else 0.0
+        return (1.0, 1.0) if wa == wb else (0.0, 0.0)
     sa, sb = set(wa), set(wb)
     spare = sorted(sb - sa)
     mended = {}
@@ -83,12 +91,12 @@ def statement_similarity(a: str, b: str) -> float:
         if left.get(pair, 0) > 0:
             left[pair] -= 1
             shared += 1
-    return shared / (max(len(wa), len(wb)) + 1)
+    return shared / (max(len(wa), len(wb)) + 1), shared / (min(len(wa), len(wb)) + 1)
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([statement_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(StructType().add("similarity", "double").add("held", "double"))
+def _shares(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([statement_shares(x, y) for x, y in zip(a, b)], columns=["similarity", "held"], dtype="float64")
 
 
 def cross_split_overlaps(
@@ -130,8 +138,9 @@ def cross_split_overlaps(
     same = (
         pairs.join(side(False, "eval"), ["subject", "eval_form"])
         .join(side(True, "train"), ["subject", "train_form"])
-        .withColumn("similarity", _similarity("eval_text", "train_text"))
-        .where(F.col("similarity") >= params.same)
+        .withColumn("shares", _shares("eval_text", "train_text"))
+        .select("subject", "eval_form", "train_form", "shares.*")
+        .where((F.col("similarity") >= params.same) | ((F.col("held") >= params.held) & (F.col("similarity") >= params.most)))
         .select("subject", "eval_form", "train_form", "similarity")
     )
     evals = rows.where("not train").select("subject", F.col("form").alias("eval_form"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split")).distinct()
