@@ -213,3 +213,20 @@ def test_parsing(spark):
     assert dict(rows(bad)) == {"bad": "not a JSON array", "none": "no items", "many": "too many items"}
     q, bad = parsing.parse_list(spark.createDataFrame([("q", '["Is it?", "No."]'), ("e", "[]")], "k string, answer string"), "k", "answer", fenced=False, questions=True)
     assert [r.text for r in q.collect()] == ["Is it?"] and bad.count() == 0
+
+
+def test_verify_fuses_dense_hits_and_questions(spark, monkeypatch):
+    from weftline.operators import fusion
+    from weftline.plans import pipeline
+
+    seen = []
+    fuse = fusion.rrf
+    monkeypatch.setattr(pipeline.fusion, "rrf", lambda e, *a: seen.append(e) or fuse(e, *a))
+    docs = spark.createDataFrame([("s", "Anna met the miller at the gate. The lantern was cracked."), ("t", "A gardener sold nine teapots.")], "source_id string, cleaned_text string")
+    claims = spark.createDataFrame([("c", "Anna met the miller."), ("d", "Teapots were sold by the gardener.")], "claim_id string, text string")
+    assert {r.claim_id for r in pipeline.verify(docs, claims).collect()} == {"c", "d"}
+    rows = seen[0].where("source = 'SEMANTIC'").collect()
+    assert {(r.atomic_claim_id, r["rank"]) for r in rows} == {(c, k) for c in "cd" for k in (1, 2)} and len(rows) == 8  # two queries a claim, two chunks
+    best = {r.atomic_claim_id: r.chunk_id for r in rows if r["rank"] == 1}
+    assert best["c"] != best["d"]
+    assert seen[0].where("source = 'LEXICAL'").select("query_id").distinct().count() == 4

@@ -72,6 +72,12 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 64) -> D
     return n.join(length, key).select(key, "dim", F.round(F.col("n") / F.col("length"), 9).alias("weight"))
 
 
+def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """(key, embedding): the hashed embeddings as arrays of ``dims`` numbers, for nearest; texts without a word have none."""
+    at = hashed_embedding(texts, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("at"))
+    return at.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("at")[i], F.lit(0.0))).alias("embedding"))
+
+
 def cache_misses(texts: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """Distinct texts that the cache doesn't hold: the only ones to compute."""
     return texts.where(F.col(text).isNotNull()).select(text).distinct().join(cache.select(text), text, "left_anti")

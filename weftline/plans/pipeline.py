@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import Chunking, Fusion, Graph, Retrieval, Rules
-from weftline.operators import chunking, fusion, graph, lexical, retrieval
+from weftline.operators import chunking, fusion, graph, lexical, retrieval, vector
 from weftline.operators import verification as V
 from weftline.session import cut
 
+#: Queries whose cosines with a batch of chunks are held at once.
+DENSE_BLOCK = 1_000
+
 
 def verify(narratives: DataFrame, claims: DataFrame, use_graph: bool = True, rules: Rules = Rules(contradiction=0.95), chunks_cfg: Chunking = Chunking(), search: Retrieval = Retrieval(), fuse: Fusion = Fusion(), walk: Graph = Graph()) -> DataFrame:
     """(claim_id, verdict, fired_rule, n_evidence): narratives (source_id, cleaned_text) are chunked and indexed once for all claims (claim_id, text).
 
-    Each claim is its own query; BM25 and, if wanted, the entity graph search for it, hits are stamped and fused, labelled
+    Each claim and its probe question are queries; BM25, dense vectors and, if wanted, the entity graph search for them, hits are stamped and fused, labelled
     by the lexical stand-in, classified, and judged. A claim without evidence is unresolved.
     """
     chunks = cut(chunking.chunk_documents(narratives, chunks_cfg)).select("chunk_id", "text", "source_id", "char_start")
-    queries = cut(retrieval.build_queries(claims, claims.select(F.lit("").alias("question_id"), F.col("claim_id").alias("atomic_claim_id"), "text").limit(0)))
+    queries = cut(retrieval.build_queries(claims, retrieval.probe_questions(claims)))
     asked = queries.select("query_id", "text")
     evidence = retrieval.stamp(lexical.bm25_search(asked, chunks, search), queries, "LEXICAL")
+    vectors = cut(vector.hashed_vectors(chunks.select("chunk_id", "text").distinct(), "chunk_id", "text"))
+    wanted = vector.hashed_vectors(asked, "query_id", "text").withColumnRenamed("query_id", "chunk_id")
+    near = vector.nearest(vectors, wanted, search.top_k, "chunk_id", block=DENSE_BLOCK).withColumnRenamed("cosine", "raw_score")
+    evidence = evidence.unionByName(retrieval.stamp(near, queries, "SEMANTIC"))
     if use_graph:
         found = cut(graph.chunk_mentions(chunks.select("chunk_id", "text", F.struct("source_id", "char_start").alias("pos")), walk.least_mention))
         ents = cut(graph.entities_of(found))

@@ -459,7 +459,7 @@ def fact_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def verify_claims(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.pipeline import verify
 
-    return verify(narratives(spark, d), _items(spark, d).select(F.col("query_id").cast("string").alias("claim_id"), "text"))
+    return verify(narratives(spark, d), claims_of(spark, d).where("text is not null").select("claim_id", "text").distinct())
 
 
 QUERIES = {f.__name__: f for f in (
