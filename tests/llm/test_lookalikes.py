@@ -20,3 +20,12 @@ def test_matches(spark):
     g = {(r.source_id, r.skeleton): r.n_spellings for r in group_lookalikes(m, "name", ["source_id"]).collect()}
     assert g[("s", "Kelessa")] == 2
     assert consistent_form(m, "name").columns == m.columns
+
+
+def test_groups_list_every_spelling(spark):
+    looks = ["Kelessa", "Kеlessa", "Kelеssa", "Kel​essa"]
+    rows = [("s", n) for n in [*looks, "Kelessa", "Other", None]] + [("t", "Kelessa"), (None, "Kelessa")]
+    got = group_lookalikes(spark.createDataFrame(rows, "source_id string, name string"), "name", ["source_id"])
+    assert sorted(got.columns) == ["n_spellings", "skeleton", "source_id", "spelling"]
+    want = {("s", n, "Kelessa", 4) for n in looks} | {("s", "Other", "Other", 1), ("t", "Kelessa", "Kelessa", 1), (None, "Kelessa", "Kelessa", 1)}
+    assert sorted(map(str, (tuple(r) for r in got.select("source_id", "spelling", "skeleton", "n_spellings").collect()))) == sorted(map(str, want))

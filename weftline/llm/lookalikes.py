@@ -12,7 +12,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -82,17 +82,13 @@ def consistent_form(df: DataFrame, column: str | Column, out: str = "skeleton")
 
 
 def group_lookalikes(names: DataFrame, column: str, scope: list[str]) -> DataFrame:
-    """(scope, skeleton, spellings, n_spellings): the different spellings behind one look.
+    """(scope, spelling, skeleton, n_spellings): every different spelling with its look and the number of spellings of that look.
 
-    Spellings are distinct before they are gathered; a look with very many spellings
-    is counted, and lists its smallest and largest only.
+    One row a spelling; nothing is gathered into lists.
     """
     forms = names.where(F.col(column).isNotNull()).select(*scope, column).distinct()
-    return (
-        consistent_form(forms, column)
-        .groupBy(*scope, "skeleton")
-        .agg(F.count("*").alias("n_spellings"), F.min(column).alias("first_spelling"), F.max(column).alias("last_spelling"))
-    )
+    look = Window.partitionBy(*scope, "skeleton")
+    return consistent_form(forms, column).select(*scope, F.col(column).alias("spelling"), "skeleton", F.count("*").over(look).alias("n_spellings"))
 
 
 def match_lookalikes(mentions: DataFrame, entities: DataFrame) -> DataFrame:
