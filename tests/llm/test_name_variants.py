@@ -39,3 +39,11 @@ def test_links(spark):
     assert got == {(1, "i"), (2, "g"), (3, "i"), (5, "i"), (12, "c"), (13, "c")}
     assert {r.mention_id for r in variant_mentions(m, e).collect()} == {1, 2, 3, 12, 13}
     assert link_names(m.limit(0), e).count() == 0 and link_names(m, e.limit(0)).count() == 0
+
+
+def test_tie_of_a_later_round_goes_to_the_aliases(spark):
+    rows = [(1, "s", "Abcdefxx Zork", None), (2, "s", "Mbpdyyxx Zork", None), (3, "s", "Abcdyyxx Zork", ["Abcdefgh Zork"]), (4, "s", "Abcdyyxx Zork", [])]
+    m = spark.createDataFrame(rows, "mention_id long, source_id string, name string, aliases array<string>")
+    e = spark.createDataFrame([("a", "s", "Abcdefgh Zork"), ("m", "s", "Mbpdyyzz Zork")], "entity_id string, source_id string, canonical_name string")
+    assert name_score("Abcdyyxx Zork", "Abcdefgh Zork") == name_score("Abcdyyxx Zork", "Mbpdyyzz Zork") == 0
+    assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {(1, "a"), (2, "m"), (3, "a")}

@@ -267,6 +267,7 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
     profile = cut(e)
     open_names = m.select("source_id", "name").distinct()
     merged: DataFrame | None = None
+    doubtful: DataFrame | None = None  # the ties of all rounds
     for _ in range(p.rounds):
         pairs = _keyed(open_names, "name").join(_keyed(profile, "form"), ["source_id", "key"]).select("source_id", "name", "form").distinct()
         scored = pairs.withColumn("score", _score("name", "form")).where(F.col("score") >= p.least)
@@ -274,12 +275,9 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
         best = Window.partitionBy("source_id", "name")
         lead = held.withColumn("top", F.max("score").over(best)).where(F.col("score") > F.col("top") - p.lead).withColumn("n", F.count("*").over(best))
         sure = cut(lead.where("n = 1").select("source_id", "name", "entity_id", "score"))
-        split = lead.where("n > 1").select("source_id", "name", "entity_id", "score")
-        split = cut(split) if merged is None else None
-        if merged is None:
-            merged, doubtful = sure, split
-        else:
-            merged = merged.unionByName(sure)
+        split = cut(lead.where("n > 1").select("source_id", "name", "entity_id", "score"))
+        merged = sure if merged is None else merged.unionByName(sure)
+        doubtful = split if doubtful is None else doubtful.unionByName(split)
         if not sure.take(1):
             break
         # only spellings that name more than a family enrich a profile
