@@ -47,3 +47,11 @@ def test_tie_of_a_later_round_goes_to_the_aliases(spark):
     e = spark.createDataFrame([("a", "s", "Abcdefgh Zork"), ("m", "s", "Mbpdyyzz Zork")], "entity_id string, source_id string, canonical_name string")
     assert name_score("Abcdyyxx Zork", "Abcdefgh Zork") == name_score("Abcdyyxx Zork", "Mbpdyyzz Zork") == 0
     assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {(1, "a"), (2, "m"), (3, "a")}
+
+
+def test_long_chains_and_two_edits(spark):
+    chain = ["a" * (20 - 2 * k) + "b" * 2 * k for k in range(1, 10)]  # each is two letters from the one before
+    m = spark.createDataFrame([*((k, "s", f"{w} Zork") for k, w in enumerate(chain)), (50, "t", "Kelossun")], "mention_id long, source_id string, name string").selectExpr("*", "cast(null as array<string>) as aliases")
+    e = spark.createDataFrame([("e", "s", f"{'a' * 20} Zork"), ("k", "t", "Kelessan")], "entity_id string, source_id string, canonical_name string")
+    assert name_score("Kelossun", "Kelessan") >= 2 and block_keys("Kelossun") & block_keys("Kelessan")
+    assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {*((k, "e") for k in range(9)), (50, "k")}

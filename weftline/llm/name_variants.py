@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -52,11 +53,10 @@ _BACK = {base: others for base, others in LOOKALIKES.items() if base.isalpha()}
 
 @dataclass(frozen=True)
 class Linking:
-    """least: score from which a spelling matches. lead: by which the best profile must lead. rounds: at most."""
+    """least: score from which a spelling matches. lead: by which the best profile must lead."""
 
     least: float = 2.0
     lead: float = 0.25
-    rounds: int = 6
 
 
 def _plain(text: str) -> str:
@@ -206,7 +206,7 @@ def name_score(spelling: str, canonical: str) -> float:
 
 
 def block_keys(name: str) -> set[int]:
-    """Hashes under which a name is compared: its words each with one letter left out, its words joined, its initials."""
+    """Hashes under which a name is compared: its words each with one letter left out, two from seven letters on, its words joined, its initials."""
     words = words_of_name(name)
     joined = "".join(words)
     keys = {joined, *(joined[:k] + joined[k + 1 :] for k in range(len(joined)) if len(words) <= 2)} if joined else set()
@@ -215,6 +215,8 @@ def block_keys(name: str) -> set[int]:
             keys.add(w)
             if len(w) >= 4:
                 keys.update(w[:k] + w[k + 1 :] for k in range(len(w)))
+            if 7 <= len(w) <= 40:
+                keys.update(w[:j] + w[j + 1 : k] + w[k + 1 :] for j, k in combinations(range(len(w)), 2))
     given = words[0] if words else ""
     if len(given) >= 3:  # short forms that may stand alone
         keys |= {f"~{given[0]}{given[-1]}", f"^{given[:2]}", f"^{given[:3]}"} if len(words) > 1 or len(given) <= 6 else set()
@@ -268,7 +270,7 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
     open_names = m.select("source_id", "name").distinct()
     merged: DataFrame | None = None
     doubtful: DataFrame | None = None  # the ties of all rounds
-    for _ in range(p.rounds):
+    while True:  # each round but the last takes names from the open ones
         pairs = _keyed(open_names, "name").join(_keyed(profile, "form"), ["source_id", "key"]).select("source_id", "name", "form").distinct()
         scored = pairs.withColumn("score", _score("name", "form")).where(F.col("score") >= p.least)
         held = cut(scored.join(profile, ["source_id", "form"]).groupBy("source_id", "name", "entity_id").agg(F.max("score").alias("score")))
