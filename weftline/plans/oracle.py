@@ -144,6 +144,7 @@ SQL = {
     "fact_provenance": f"with {CHUNKS}, {SPANS} select distinct entity_id, chunk_id, greatest(s, char_start)::bigint as char_start, least(e, char_end)::bigint as char_end from sp join c on c.source_id = sp.source_id and char_start < e and s < char_end where e > s and char_end > char_start",
     "knn_cosine": "with p as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select query_id, vec_id, round(s, 4) as cosine from p qualify row_number() over (partition by query_id order by s desc, vec_id) <= 10",
     "hashed_embedding": f"with w as (select item_id, ('0x' || substr(sha256(w), 63, 2))::bigint % 64 as dim, count(*) as n from (select item_id, unnest({_toks('text')}) as w from (select distinct * from benchmark)) group by all), l as (select item_id, sqrt(sum(n * n)) as l from w group by 1) select item_id, dim, round(round(n / l, 9), 6) as weight from w join l using (item_id)",
+    "hashed_embedding_chunks": f"with {CHUNKS}, w as (select chunk_id, ('0x' || substr(sha256(w), 63, 2))::bigint % 64 as dim, count(*) as n from (select chunk_id, unnest({_toks('text')}) as w from c) group by all), l as (select chunk_id, sqrt(sum(n * n)) as l from w group by 1) select chunk_id, dim, round(round(n / l, 9), 6) as weight from w join l using (chunk_id)",
     "embedding_cache_misses": "select count(*) as misses, sum(length(text))::bigint as characters from (select distinct text from retrieved_evidence where text is not null and text not in (select text from fused_evidence where text is not null))",
     "nli_labels": f"with {LABELS} select * from lb",
     "classify_claims": f"with {STATUS} select * from cs",

@@ -144,6 +144,10 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     return vector.hashed_embedding(table(spark, d, "benchmark").distinct(), "item_id", "text").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("weight", 6).alias("weight"))
 
 
+def hashed_embedding_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return vector.hashed_embedding(chunks_of(spark, d), "chunk_id", "text").select("chunk_id", F.col("dim").cast("bigint").alias("dim"), F.round("weight", 6).alias("weight"))
+
+
 def embedding_cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return vector.cache_misses(table(spark, d, "retrieved_evidence"), table(spark, d, "fused_evidence")).agg(F.count("*").alias("misses"), F.sum(F.length("text")).cast("bigint").alias("characters"))
 
@@ -297,6 +301,10 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").distinct().select("item_id", F.posexplode(T.mentions(F.col("text"))).alias("pos", "mention")).select("item_id", F.col("pos").cast("bigint").alias("pos"), "mention")
 
 
+def mentions_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.mentions(F.col("text"))).alias("pos", "mention")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "mention")
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = chunks_of(spark, d).select("chunk_id", "text", F.struct("source_id", "char_start", "chunk_id").alias("pos"))
     found = cut(graph.chunk_mentions(c, Graph().least_mention))
@@ -464,9 +472,9 @@ def verify_claims(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_text, clean_rejects, tokenize_counts, chunk_spans, content_ids, token_estimates, row_validation, claim_texts, passages_prompt, parse_json_array, bm25_stats, bm25_topk, query_builder,
-    evidence_grouped, rrf_fusion, round_robin_fusion, span_overlap, fact_provenance, knn_cosine, hashed_embedding, embedding_cache_misses, nli_labels, classify_claims, classified_evidence, verdict_strict,
+    evidence_grouped, rrf_fusion, round_robin_fusion, span_overlap, fact_provenance, knn_cosine, hashed_embedding, hashed_embedding_chunks, embedding_cache_misses, nli_labels, classify_claims, classified_evidence, verdict_strict,
     verdict_lenient, verdict_diff, threshold_sweep, score_histogram, confusion, verdict_metrics, retrieval_metrics, citation_metrics, stage_latency, ablation_deltas, retrieval_coverage, stratified_sample,
-    order_statistics, failure_modes, ledger_fk_violations, ledger_write_once, ledger_fingerprint, checkpoint_resume, mentions, cooccurrence_edges, graph_topology, graph_bfs_1hop, graph_bfs_2hop, relation_collapse,
+    order_statistics, failure_modes, ledger_fk_violations, ledger_write_once, ledger_fingerprint, checkpoint_resume, mentions, mentions_documents, cooccurrence_edges, graph_topology, graph_bfs_1hop, graph_bfs_2hop, relation_collapse,
     normalize_names, merge_keys, qualifier_tags, ambiguous_keys, er_components, canonical_entities, quote_exact, quote_places, quote_trust_boundary, chapter_spans, extraction_windows, relations_resolved,
     graph_fingerprint, nli_premises, graph_entry, label_map, macro_averages, retrieve_stamped, parse_questions, fact_verdicts, verify_claims,
 )}
