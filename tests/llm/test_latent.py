@@ -13,7 +13,7 @@ SPACE = Space(terms=300, dims=16, extra=8, common=0.2)
 
 def test_words():
     assert words_of("He said, “No!” – twice; café X\n2nd") == [w.encode() for w in ["he", "said", "no", "!", "twice", ";", "café", "x", "\n", "2nd"]]
-    assert words_of("Plain ASCII. It's\nso") == [b"plain", b"ascii", b".", b"it", b"s", b".", b"so"]
+    assert words_of("Plain ASCII. It's\nso") == [b"plain", b"ascii", b".", b"it", b"s", b"\n", b"so"]
     flat, counts = word_ids(["a b.", None, "", "A"])
     assert counts.tolist() == [3, 0, 0, 1] and flat[2] == END and flat[0] == flat[3] != END
 
@@ -90,6 +90,22 @@ def test_equal_passages_count_whatever_their_words(spark):
     assert {tuple(r) for r in find_leaks(d, b, params=p).collect()} == want | {(21, 0)}
 
 
+def test_changed_words_and_words_outside_the_space(spark):
+    docs, items, want = corpus(11)
+    rng = random.Random(2)
+    rare = " ".join(f"qx{i}z" for i in range(14))  # no term: the most frequent 40 words make the space
+    items.append((40, f"{rare} {items[3][1]}"))
+    docs[31], want = (31, f"{docs[31][1]} {rare} {docs[70][1]}"), want | {(31, 40), (4, 40)}  # item 40 holds item 3
+    noun = sorted({w for _, t in docs for w in t.replace(".", "").split()})
+    for n, every in enumerate((4, 5, 6, 8, 12)):
+        w = items[5 + n][1].replace(".", "").split()
+        w[every - 1 :: every] = [rng.choice(noun) for _ in w[every - 1 :: every]]
+        docs[40 + n], want = (40 + n, f"{docs[40 + n][1]} {' '.join(w)} {docs[80 + n][1]}"), want | {(40 + n, 5 + n)}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in find_leaks(d, b, params=Leaks(space=dataclasses.replace(SPACE, terms=40))).collect()}
+    assert got == want
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert alignment(a, a)[0] == 6

@@ -8,23 +8,21 @@ eigenvectors, which are A's right singular vectors. Every passage counts.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD_OR_END = re.compile(r"[^\W_]+|[.!?…;\n]")
-_TABLE = bytes(c if chr(c).isalnum() or c >= 128 or chr(c) in ".!?;\n" else 32 for c in range(256))
-_ENDS = (b"!", b"?", b";", b".")
-_MARKS = frozenset([*_ENDS, b"\n", "…".encode()])
-#: Common signs outside ASCII that separate words, and the one that ends a sentence.
-_SIGNS = {"\xa0": " ", "“": " ", "”": " ", "‘": " ", "’": " ", "„": " ", "«": " ", "»": " ", "–": " ", "—": " ", "…": "."}
+#: What a byte of lower-case UTF-8 is: 0 separates words, 1 is of a word, 2 ends a sentence.
+_KIND = bytes(2 if chr(c) in ".!?;\n" else int(c >= 128 or chr(c).isalnum()) for c in range(256))
+#: Other characters that are of no word; signs of the blocks that ``_tokens`` knows aside.
+_ODD = r"[^\x00-\x7F\x{80}-\x{BF}\x{2000}-\x{206F}\p{L}\p{N}\p{M}]"
+_SLICE = 1 << 17
 
 #: Marks the end of a sentence between word hashes.
 END = 0
@@ -46,41 +44,84 @@ class Space:
     seed: int = 11
 
 
-class WordIds(dict):
-    """Word to a 32-bit hash other than END, remembered; forgets all when a worker has seen very many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = END if word in _MARKS else zlib.crc32(word) | 1
-        self[word] = h = h - (1 << 32) if h >= 1 << 31 else h
-        return h
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 to the 64; grown to the longest slice met."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(n, 2 * _SLICE), x))) for x in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 32-bit hash other than END of each stretch of bytes: a polynomial in the bytes, taken from running sums, then mixed."""
+    power, inverse = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(raw * power[: len(raw)], out=total[1:])
+    h = (total[end] - total[start]) * inverse[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).view(np.int32)
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """What each byte is. Two blocks of signs outside ASCII are found by their lead bytes: Latin-1's and general punctuation."""
+    kind = np.frombuffer(bytearray(raw.tobytes().translate(_KIND)), dtype=np.uint8)
+    after = np.append(raw, np.zeros(2, np.uint8))
+    two = np.flatnonzero(raw == 0xC2)
+    two = two[~np.isin(after[two + 1], (0xAA, 0xB5, 0xBA))]
+    kind[two] = kind[two + 1] = 0
+    three = np.flatnonzero(raw == 0xE2)
+    three = three[(after[three + 1] == 0x80) | (after[three + 1] == 0x81)]
+    for k in range(3):
+        kind[three + k] = 0
+    kind[three[(after[three + 1] == 0x80) & (after[three + 2] == 0xA6)]] = 2  # the ellipsis
+    return kind
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, rows' offsets) of the tokens of lower-case texts: words, and the marks that end sentences, in order."""
+    texts = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))  # a row ends its last word
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+    kind = _kinds(raw)
+    word = kind == 1
+    turn = np.append(word[:1], word[1:] != word[:-1])
+    start = np.flatnonzero((turn & word) | (kind == 2))
+    end = start.copy()  # a mark is an empty stretch
+    end[kind[start] == 1] = np.flatnonzero(turn & ~word)
+    return raw, start, end, offsets - offsets[0]
+
+
+def lower_text(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, with a blank for every character that is of no word."""
+    low = pc.utf8_lower(texts)
+    odd = pc.match_substring_regex(low, _ODD)
+    if pc.any(odd).as_py():
+        low = pc.if_else(odd, pc.replace_substring_regex(low, _ODD, " "), low)
+    return low
 
 
 def words_of(text: str) -> list[bytes]:
     """Words in lower case, and sentence marks, in order; anything else separates words."""
-    text = text.lower()
-    if not text.isascii():
-        for sign, other in _SIGNS.items():
-            text = text.replace(sign, other)
-        if not text.isascii():
-            return [w.encode() for w in _WORD_OR_END.findall(text)]
-    raw = text.encode().translate(_TABLE).replace(b"\n", b".")
-    for mark in _ENDS:
-        raw = raw.replace(mark, b" . ")
-    return raw.split()
-
-
-def word_ids(texts: list[str | None], ids: WordIds | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words and END marks in order, their number per text)."""
-    get = (WordIds() if ids is None else ids).__getitem__
-    flat: list[int] = []
-    counts = []
-    for t in texts:
-        words = words_of(t) if t else ()
-        flat.extend(map(get, words))
-        counts.append(len(words))
-    return np.array(flat, dtype=np.int32), np.array(counts, dtype=np.int64)
+    raw, start, end, _ = _tokens(lower_text(pa.array([text], pa.string())))
+    return [raw[a : max(b, a + 1)].tobytes() for a, b in zip(start.tolist(), end.tolist())]
+
+
+def word_ids(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words and END marks in order, their number per text); whole columns at a time, in slices of bounded memory."""
+    raw, start, end, offsets = _tokens(lower_text(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+    out = np.empty(len(start), dtype=np.int32)
+    lo = 0
+    while lo < len(start):
+        hi = max(int(np.searchsorted(end, start[lo] + _SLICE, "right")), lo + 1)
+        a = start[lo]
+        out[lo:hi] = _hashes(raw[a : end[hi - 1]].astype(np.uint64), start[lo:hi] - a, end[lo:hi] - a)
+        lo = hi
+    out[start == end] = END
+    return out, np.diff(np.searchsorted(start, offsets))
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -96,11 +137,10 @@ def word_table(docs: DataFrame, key: str, text: str, ends: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                flat, counts = word_ids(part.column(1).to_pylist(), ids)
+                flat, counts = word_ids(part.column(1))
                 if not ends:
                     word = flat != END
                     counts = np.diff(np.concatenate([[0], np.cumsum(word)])[np.concatenate([[0], np.cumsum(counts)])])

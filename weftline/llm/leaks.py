@@ -1,10 +1,11 @@
 """Problem 9: evaluation passages that occur in corpus texts.
 
 Short windows of all texts and of the evaluation items are placed in the latent
-space of the corpus (TF-IDF, randomised SVD). Windows of high cosine are candidates;
-they are held against the words themselves, and the texts around those that pass are
-aligned with the item by longest common subsequence within a band. An alignment of
-barely enough words must also hold words that answer for this item, not stock phrases.
+space of the corpus (TF-IDF, randomised SVD). What of a word lies outside that space is
+kept as a random sketch beside it, so that cosines stay near those of the full TF-IDF and rare words, terms or
+not, tell windows apart. Windows of like direction are candidates, found through cells of the items' windows; most of a candidate's words must stand
+near each other in both texts, and the texts around those that pass are aligned with the item by longest common subsequence. An alignment of
+barely enough words must also hold the item's answer, the words that tell it from other items, not stock phrases.
 Equal windows are candidates wherever they lie, and a run of equal words that makes a passage is a case whatever it holds.
 """
 
@@ -21,31 +22,31 @@ from pyspark.sql import functions as F
 from weftline.llm.latent import END, Space, Terms, singular_vectors, telling_terms, unpack, within, word_ids, word_table
 from weftline.session import cut
 
-_SLICE = 120_000
+#: Words placed at once.
+_SLICE = 160_000
 
 
 @dataclass(frozen=True)
 class Leaks:
     """passage: successive words that make a case, without any other check when all are equal. window, stride: words of a window, and between the starts of
-    a text's windows; window + stride - 1 <= passage, so each such run holds a whole window. Items have a window at
-    every word. cosine: of candidates. agree: words of a candidate window that stand in the same order. told: their share of the window's weight. cells,
-    probes: the items' windows are in cells by k-means, of which a text's window visits the nearest.
-    nearest: least cosine to a cell's centre. sure: aligned words from which no answer check is needed.
-    items: evaluation items searched for at once.
+    a text's windows; window + stride - 1 <= passage, so each such run holds a whole window. apart: between the starts of an item's windows.
+    sketch: dimensions for what lies outside the latent space. cosine: of candidates; two or three of a window's words may differ. agree: words of a candidate window that
+    stand near each other in both. cells, probes: the items' windows are in ``cells`` times the root of their number of cells, by k-means, of which a text's window
+    visits the nearest. sure: aligned words from which no answer check is needed. items: evaluation items searched for at once.
     """
 
     passage: int = 12
     window: int = 8
     stride: int = 5
-    cosine: float = 0.9
-    agree: int = 6
-    told: float = 0.75
-    cells: int = 96
-    probes: int = 2
-    nearest: float = 0.45
+    apart: int = 3
+    sketch: int = 40
+    cosine: float = 0.65
+    agree: int = 5
+    cells: float = 1.7
+    probes: int = 4
     sure: int = 15
     items: int = 20_000
-    space: Space = Space(dims=48)
+    space: Space = Space(dims=24)
 
     def __post_init__(self) -> None:
         if self.window + self.stride - 1 > self.passage:
@@ -94,45 +95,56 @@ def _cluster(x: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, np.ndarr
 
 
 class _Index:
-    """The windows of some evaluation items, in cells, with the words themselves."""
+    """The windows of some evaluation items, in cells, with the words themselves.
+
+    ``vectors``: right singular vectors of the terms. A word that is no term and that no item holds has no direction:
+    it neither makes a window a candidate nor keeps it from being one.
+    """
 
     def __init__(self, ids: np.ndarray, flat: np.ndarray, counts: np.ndarray, terms: Terms, vectors: np.ndarray, p: Leaks) -> None:
         self.ids, self.flat, self.starts = ids, flat, np.concatenate([[0], np.cumsum(counts)])
-        self.p, self.terms = p, terms
-        self.vectors = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])  # the last for words that are no term
-        owner = np.repeat(np.arange(len(ids)), counts)
-        pos = np.arange(len(flat) - p.window + 1)
-        pos = pos[owner[pos] == owner[pos + p.window - 1]] if len(flat) >= p.window else pos[:0]
+        self.p, self.mask = p, len(terms.slot) - 1
+        self.owner = owner = np.repeat(np.arange(len(ids)), counts)
+        known = np.unique(flat & self.mask)
+        rare = known[(terms.slot[known] < 0) & ~np.isin(known, terms.common)]
+        self.slot = terms.slot.astype(np.int32)
+        self.slot[rare] = np.arange(len(rare)) + len(vectors)
+        weight = np.concatenate([terms.weight[: len(vectors)], np.full(len(rare), terms.weight.max()), [0]]).astype(np.float32)  # the last for words without a direction
+        self.weight = weight[self.slot[flat & self.mask]]  # a word that is no term is rarer than all terms, or so common that it tells nothing
+        beside = np.random.default_rng(p.space.seed).standard_normal((len(weight), p.sketch))
+        latent = np.concatenate([vectors, np.zeros((len(rare) + 1, vectors.shape[1]))])
+        beside *= (np.sqrt(np.maximum(1 - (latent**2).sum(axis=1), 0)) / np.linalg.norm(beside, axis=1))[:, None]
+        self.vectors = (np.concatenate([latent, beside], axis=1) * weight[:, None]).astype(np.float32)
+        pos = np.arange(max(len(flat) - p.window + 1, 0))
+        pos = pos[owner[pos] == owner[pos + p.window - 1]]
         marks = self._marks(flat, pos)
         order = np.argsort(marks, kind="stable")
         self.marks, self.marked = marks[order], pos[order]
-        x = self.place(flat, pos)
+        at, left = pos - self.starts[owner[pos]], counts[owner[pos]]
+        pos = pos[(at % p.apart == 0) | (at + p.window == left)]
+        x = self._unit(sum(self.vectors[self.slot[flat[pos + j] & self.mask]] for j in range(p.window)))
         kept = x.any(axis=1)
         self.pos, x = pos[kept], x[kept]
-        self.owner = owner
         if len(x):
-            self.centres, cell = _cluster(x, p.cells, p.space.seed)
+            self.centres, cell = _cluster(x, max(1, int(p.cells * len(x) ** 0.5)), p.space.seed)
             order = np.argsort(cell, kind="stable")
             self.pos, self.x = self.pos[order], x[order]
             self.bounds = np.searchsorted(cell[order], np.arange(len(self.centres) + 1))
-        term = terms.of(flat)  # a word that is no term is rarer than all terms, or so common that it tells nothing
-        other = np.where(np.isin(flat & (len(terms.slot) - 1), terms.common), 0, terms.weight.max())
-        self.weight = np.where(term >= 0, terms.weight[term], other).astype(np.float32)
-        after = np.concatenate([self.weight, np.zeros(p.window, np.float32)])
-        self.peak = np.argmax([after[w : w + len(flat)] for w in range(p.window)], axis=0) if len(flat) else np.zeros(0, np.int64)
-        summed = np.concatenate([[0], np.cumsum(self.weight)])
-        at = np.arange(len(flat))
-        self.told = (summed[np.minimum(at + p.window, len(flat))] - summed[at]).astype(np.float32)
-
-    def place(self, flat: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Unit vectors of the windows that begin at ``pos``; zero where no word has a weight."""
-        vectors = self.vectors[self.terms.of(flat)]
-        x = vectors[pos]
-        for j in range(1, self.p.window):
-            x += vectors[pos + j]
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-6)
 
+    def place(self, flat: np.ndarray) -> np.ndarray:
+        """Unit vectors of the windows that begin at every ``stride``-th word; zero where no word has a direction. Blocks of words are summed once."""
+        p, n = self.p, (len(flat) - self.p.window) // self.p.stride + 1
+        words = np.concatenate([self.slot[flat & self.mask], np.full(-len(flat) % p.stride, -1, np.int32)])
+        blocks = self.vectors[words].reshape(-1, p.stride, self.vectors.shape[1])
+        whole, more = p.window // p.stride, p.window % p.stride
+        x = sum(blocks[k : k + n].sum(axis=1) for k in range(whole))
+        return self._unit(x + blocks[whole : whole + n, :more].sum(axis=1) if more else x)
+
     def _marks(self, flat: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """Hashes of the windows that begin at ``pos``."""
         h = np.zeros(len(pos), dtype=np.uint64)
@@ -150,49 +162,45 @@ class _Index:
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(pos[hit], n), self.marked[at]
 
-    def candidates(self, flat: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in flat, positions in the items) of window pairs that are equal, or of like meaning and mostly equal words."""
+    def candidates(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in flat, positions in the items) of window pairs that are equal, or of like meaning and mostly equal words; ``offsets`` of the texts in flat."""
         p = self.p
-        found: list[tuple[np.ndarray, np.ndarray]] = [self._equal(flat, pos)]
-        if not len(self.pos) or not len(pos):
+        pos = np.arange(0, len(flat) - p.window + 1, p.stride)
+        row = np.searchsorted(offsets, pos, "right") - 1
+        inner = pos + p.window <= offsets[row + 1]
+        found = [self._equal(flat, pos[inner])]
+        if not len(self.pos) or not inner.any():
             return found[0]
-        x = self.place(flat[pos[0] : pos[-1] + p.window], pos - pos[0])
+        x, pos = self.place(flat)[inner], pos[inner]
         near = x @ self.centres.T
         k = min(p.probes, near.shape[1])
-        floor = np.maximum(np.partition(near, near.shape[1] - k, axis=1)[:, -k], p.nearest)
-        for c in range(len(self.centres)):
-            lo, hi = self.bounds[c], self.bounds[c + 1]
-            if lo == hi:
-                continue
-            rows = np.flatnonzero(near[:, c] >= floor)
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
-                i, j = np.nonzero(x[part] @ self.x[lo:hi].T >= p.cosine)
-                a, b = pos[part[i]], self.pos[lo + j]
-                peak = self.peak[b]
-                ok = self._same(flat, a + peak, b + peak)  # its most telling word first
-                a, b = a[ok], b[ok]
-                same, weight = np.zeros(len(a), dtype=np.int8), np.zeros(len(a), dtype=np.float32)
-                for w in range(p.window):
-                    hit = self._same(flat, a + w, b + w)
-                    same += hit
-                    weight += hit * self.weight.take(b + w, mode="clip")
-                ok = (same >= p.agree) & (weight >= p.told * self.told[b])
-                a, b = a[ok], b[ok]
-                run, best = np.zeros(len(a), dtype=np.int8), np.zeros(len(a), dtype=np.int8)
-                for w in range(-p.passage, p.window + p.passage):  # best run of agreeing words around the window
-                    run = np.maximum(run + np.where(self._same(flat, a + w, b + w), 1, -1).astype(np.int8), 0)
-                    np.maximum(best, run, out=best)
-                ok = best >= p.passage - 2
-                a, b = a[ok], b[ok]
-                if len(a):
-                    found.append((a, b))
+        visit = near >= np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
+        cell, rows = np.nonzero(visit.T)
+        begin = np.searchsorted(cell, np.arange(len(self.centres) + 1))
+        pairs = []
+        for c in np.flatnonzero(np.diff(begin)):
+            part, lo = rows[begin[c] : begin[c + 1]], self.bounds[c]
+            i, j = np.nonzero(x[part] @ self.x[lo : self.bounds[c + 1]].T >= p.cosine)
+            pairs.append((part[i], lo + j))
+        a = pos[np.concatenate([i for i, _ in pairs])]
+        b = self.pos[np.concatenate([j for _, j in pairs])]
+        same = sum(self._same(flat, a + w, b + w) for w in range(p.window))
+        a, b = a[same >= p.agree], b[same >= p.agree]
+        run, best = np.zeros(len(a), dtype=np.int8), np.zeros(len(a), dtype=np.int8)
+        for w in range(-p.passage, p.window + p.passage):  # best run of agreeing words around the window
+            run = np.maximum(run + np.where(self._same(flat, a + w, b + w), 1, -1).astype(np.int8), 0)
+            np.maximum(best, run, out=best)
+        ok = best >= p.passage - 3
+        found.append((a[ok], b[ok]))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def _same(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the word at ``a`` is the item's at ``b`` or beside it, a word having been lost or put in."""
+        """1 where the word at ``a`` is the item's at ``b`` or one of the two beside it on either side, words having been lost or put in."""
         word = flat.take(a, mode="clip")
-        return (word == self.flat.take(b, mode="clip")) | (word == self.flat.take(b - 1, mode="clip")) | (word == self.flat.take(b + 1, mode="clip"))
+        hit = word == self.flat.take(b, mode="clip")
+        for d in (-2, -1, 1, 2):
+            hit |= word == self.flat.take(b + d, mode="clip")
+        return hit.astype(np.int8)
 
     def leaks(self, words: np.ndarray, at: np.ndarray, b: np.ndarray) -> list[int]:
         """Items that one text's candidate windows (``at`` in its words, ``b`` in the items) prove to be in it."""
@@ -242,11 +250,11 @@ def _search(index, key: str, item_key: str):
         for b in batches:
             flat, offsets = unpack(b.column("words"))
             docs, items = [], []
-            every = np.arange(0, len(flat) - p.window + 1, p.stride)
-            row = np.searchsorted(offsets, every, "right") - 1
-            every = every[every + p.window <= offsets[row + 1]]
-            for lo in range(0, len(every), _SLICE // p.stride):
-                a, q = ix.candidates(flat, every[lo : lo + _SLICE // p.stride])
+            step = _SLICE // p.stride * p.stride
+            for lo in range(0, len(flat), step):
+                piece = flat[lo : lo + step + p.window]
+                a, q = ix.candidates(piece, np.append(offsets[np.searchsorted(offsets, lo, "right") - 1 :] - lo, len(flat) - lo + 1))
+                a = a + lo
                 row = np.searchsorted(offsets, a, "right") - 1
                 order = np.argsort(row, kind="stable")
                 a, q, row = a[order], q[order], row[order]
@@ -274,7 +282,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     p = params
     words = cut(word_table(docs.where(f"{key} is not null"), key, text, ends=False))
     terms = telling_terms(words, p.space)
-    vectors = (terms.weight[:, None] * singular_vectors(words, terms, p.space)).astype(np.float32)
+    vectors = singular_vectors(words, terms, p.space)
     spark = docs.sparkSession
     asked = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("bigint").alias("i"), text).distinct()
     blocks = max(1, -(-asked.count() // p.items))
