@@ -38,6 +38,16 @@ def test_components_against_brute_force(spark, limit):
         assert got == brute(g)
 
 
+def test_long_chain_takes_few_levels(spark):
+    """An ordered chain whose pairs lie scattered over partitions of a hundredth of it."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id as a", "id + 1 as b").repartition(4)
+    levels = []
+    found = connected_components(df, "a", "b", n // 100, levels).toPandas()
+    assert len(levels) <= 20 and all(b < 0.8 * a for a, b in zip(levels, levels[1:]))
+    assert len(found) == n + 1 and (found["group"] == 0).all() and found["node"].is_unique
+
+
 def test_forest():
     n, r = spanning_forest(np.array([5, 9, 2]), np.array([9, 7, 2]))
     assert dict(zip(n.tolist(), r.tolist())) == {2: 2, 5: 5, 7: 5, 9: 5}
