@@ -40,7 +40,7 @@ class Subjects:
     weight: float = 0.3
     clusters: int = 12
     pure: float = 0.5
-    rounds: int = 1
+    rounds: int = 3
     telling: float = 1.0
     cosine: float = 0.2
     seed: int = 5
@@ -207,11 +207,13 @@ def document_subjects(
     own_offsets = np.concatenate([[0], np.cumsum(own_counts)])
     said = labels.where(F.col(key).isNotNull() & F.col("subject").isNotNull()).groupBy(key).agg(F.collect_set(F.lower(F.trim("subject"))).alias("said"))
     sample = said.orderBy(F.xxhash64(F.col(key)), key).limit(p.labelled)
-    held = words.join(F.broadcast(sample), key).orderBy(key).toPandas()  # at most p.labelled documents
-    has = np.array([[s in set(v) for s in subjects] for v in held["said"]], dtype=np.float64).reshape(len(held), len(subjects))
+    held = words.join(F.broadcast(sample), key).orderBy(key).select("said", "words").toArrow()  # at most p.labelled documents
+    has = np.array([[s in v for s in subjects] for v in map(set, held.column("said").to_pylist())], dtype=np.float64).reshape(held.num_rows, len(subjects))
     has = np.concatenate([has, np.repeat(np.eye(len(subjects)), 2, axis=0)])  # the descriptions count as documents, twice as names don't
-    flat = np.concatenate([*held["words"], *[own_flat[own_offsets[k] : own_offsets[k + 1]] for k in range(len(subjects)) for _ in (0, 1)], []]).astype(np.int32)
-    offsets = np.concatenate([[0], np.cumsum([*map(len, held["words"]), *np.repeat(own_counts, 2)])]).astype(np.int64)
+    parts = [unpack(c) for c in held.column("words").chunks if len(c)]
+    lengths = [np.diff(o) for _, o in parts]
+    flat = np.concatenate([*[f for f, _ in parts], *[own_flat[own_offsets[k] : own_offsets[k + 1]] for k in range(len(subjects)) for _ in (0, 1)], []]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([*lengths, np.repeat(own_counts, 2)]))]).astype(np.int64)
     terms = telling_terms(words, p.space, subject_terms(flat, offsets, has, p))
     terms.slot[np.isin(terms.slot, np.flatnonzero(terms.weight < p.weight))] = -1
     vectors = singular_vectors(words, terms, p.space)
