@@ -55,3 +55,11 @@ def test_long_chains_and_two_edits(spark):
     e = spark.createDataFrame([("e", "s", f"{'a' * 20} Zork"), ("k", "t", "Kelessan")], "entity_id string, source_id string, canonical_name string")
     assert name_score("Kelossun", "Kelessan") >= 2 and block_keys("Kelossun") & block_keys("Kelessan")
     assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {*((k, "e") for k in range(9)), (50, "k")}
+
+
+def test_profile_unites_words_of_several_spellings(spark):
+    rows = [(1, "s", "Lizzie Vandivick"), (2, "s", "Elizabeth Vandovack"), (3, "s", "Lizzje Vandovaxk"), (4, "s", "Lizzje Vandxxxk")]
+    m = spark.createDataFrame(rows, "mention_id long, source_id string, name string").selectExpr("*", "cast(null as array<string>) as aliases")
+    e = spark.createDataFrame([("e", "s", "Elizabeth Vandivick"), ("e", "s", "Elizabeth Vandivick"), ("p", "s", "Peraric Vandivick")], "entity_id string, source_id string, canonical_name string")
+    assert all(name_score("Lizzje Vandovaxk", x) == 0 for x in ("Elizabeth Vandivick", "Lizzie Vandivick", "Elizabeth Vandovack"))
+    assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {(1, "e"), (2, "e"), (3, "e")}

@@ -1,9 +1,9 @@
 """Problem 5: linking the spellings of a name to the entity they refer to.
 
-Merge-and-rematch: an entity's profile begins with its canonical name. Spellings that
-match a profile are merged into it; the richer profile, now knowing those spellings and
-their initials, goes back into blocking and meets the spellings that are left, until a round
-merges nothing. Blocks are by (narrative, word with one letter left out), never a
+Merge-and-rematch: an entity's profile begins with the words of its canonical name. Spellings that
+match a profile are merged into it, and each of their words joins the others that stand for the same word of the name; the richer
+profile, in which a given name of one spelling and a family name of another now stand together, goes back into blocking and meets the spellings that are left, until a round
+merges nothing. The first round blocks by (narrative, whole word), the others also by words with letters left out, never by a
 whole narrative.
 """
 
@@ -61,6 +61,8 @@ class Linking:
 
 def _plain(text: str) -> str:
     """Lower case without accents; look-alikes resolved into the script most letters are of."""
+    if text.isascii():
+        return text.lower()
     cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
     latin = sum(c.isascii() and c.isalpha() for c in unicodedata.normalize("NFKD", text))
     if cyrillic and cyrillic >= latin:
@@ -141,112 +143,166 @@ def _stray(word: str, canonical: str) -> bool:
     return len(word) <= 4 and (len(word) > 1 or word in "fo") and any(q in PARTICLES and (set(word) & set(q) or len(word) > 2) for q in canonical.lower().split())
 
 
-def name_score(spelling: str, canonical: str) -> float:
-    """How well a spelling fits a canonical name: 0 not at all, 2 by the family name only, more for each word it bears out.
+Slots = tuple[tuple[str, ...], ...]
+
+
+@lru_cache(maxsize=100_000)
+def _slots(form: str) -> Slots:
+    """A profile's words out of 'slot:word' items: for each word of the canonical name that word, then those that stood for it."""
+    out: dict[int, list[str]] = {}
+    for item in form.split():
+        k, w = item.split(":")
+        out.setdefault(int(k), []).append(w)
+    return tuple(tuple(out[k]) for k in sorted(out))
+
+
+def _fit(w: str, variants: tuple[str, ...], first: bool, given: bool, only: bool, many: bool) -> float:
+    """How well a word fits one word of a profile. given: that word is the given name, first: or that is borne out; only: the spelling has no other word; many: the name has several."""
+    if len(w) == 1:
+        return (1.2 if first else 0.7) if any(x[0] == w for x in variants) else 0.0
+    if w in variants:
+        return 3.0
+    whole = [x for x in variants if len(x) > 1]
+    if given and many and any(_short_for(w, x) for x in whole):
+        return 2.0
+    if any(_near(w, x) for x in whole):
+        return 2.5
+    if not only and any(_contracted(w, x) for x in whole):
+        return 1.6
+    return 1.2 if w[0] in variants else 0.0
 
-    Every word of the spelling must be a word of the name, one misspelled, its initial, or a
+
+def profile_score(m: tuple[str, ...], slots: Slots, canonical: str) -> tuple[float, list[tuple[int, str]]]:
+    """(score, learnt words): how well a spelling's words fit a profile, 0 not at all, 2 by the family name only, more for each word it bears out.
+
+    Every word of the spelling must be a word of the profile, one misspelled, its initial, or a
     short form of the given name, and the last word of the name or all words but the
-    last of a longer title must be borne out.
+    last of a longer title must be borne out. Learnt: (slot, word) of words that are new to their slot.
     """
-    m, e = words_of_name(spelling), words_of_name(canonical)
-    if not m or not e or is_generic(spelling):
-        return 0.0
+    e = tuple(v[0] for v in slots)
+    if not m or not e:
+        return 0.0, []
     if m == e:
-        return 50.0
+        return 50.0, []
     joined, whole = "".join(m), "".join(e)
     if sorted(m) == sorted(e) or joined == whole:
-        return 45.0
+        return 45.0, []
     if len(e) >= 3 and len(joined) == len(e) and all(w[0] == c for w, c in zip(e, joined)) and (len(m) == 1 or all(len(w) == 1 for w in m)):
-        return 12.0
+        return 12.0, []
     if len(joined) >= 6 and (len(m) == 1 or len(e) == 1) and _near(joined, whole):
-        return 40.0
+        return 40.0, [(0, joined)] if len(m) == len(e) == 1 else []
     free = list(range(len(e)))
-    total, borne, exact = 0.0, set(), 0
+    total, borne, exact, learnt = 0.0, set(), 0, []
     for w in sorted(m, key=len, reverse=True):
         best, at = 0.0, -1
         for k in free:
-            v = e[k]
-            if w == v:
-                s = 3.0
-            elif len(w) == 1:
-                s = (1.2 if k == 0 or 0 in borne else 0.7) if v[0] == w else 0.0
-            elif len(v) == 1:
-                s = 1.2 if w[0] == v else 0.0
-            elif k == 0 and len(e) > 1 and _short_for(w, v):
-                s = 2.0
-            elif _near(w, v):
-                s = 2.5
-            elif len(m) > 1 and _contracted(w, v):
-                s = 1.6
-            elif len(w) <= 4 and len(m) > 1 and all(len(x) == 1 for x in w) and len(w) >= 2 and len(e) > 2 and w == "".join(x[0] for x in e[: len(w)]):
+            s = _fit(w, slots[k], k == 0 or 0 in borne, k == 0, len(m) == 1, len(e) > 1)
+            if not s and 2 <= len(w) <= 4 and len(m) > 1 and len(e) > 2 and w == "".join(x[0] for x in e[: len(w)]):
                 s = 2.4
-            else:
-                s = 0.0
             if s and (s > best or (s == best and k == len(e) - 1)):
                 best, at = s, k
         if at < 0:
             if len(m) > 2 and _stray(w, canonical):
                 continue
-            return 0.0
+            return 0.0, []
         free.remove(at)
         borne.add(at)
         total += best
         exact += best >= 1.6
+        if w not in slots[at] and best != 2.4:
+            learnt.append((at, w))
     last = len(e) - 1
     if len(m) == 1:
         w = m[0]
         if len(w) == 1 or (len(e) > 1 and last not in borne and not (0 in borne and len(w) >= 3)):
-            return 0.0
-        return 2.2 if last in borne else 2.0
+            return 0.0, []
+        return (2.2 if last in borne else 2.0), learnt
     if not exact:
-        return 0.0
+        return 0.0, []
     if last not in borne and len(borne) < max(2, len(e) - 1):
+        return 0.0, []
+    return 2.0 + total - 0.05 * len(free), learnt
+
+
+def name_score(spelling: str, canonical: str) -> float:
+    """How well a spelling fits a canonical name by itself; pronouns and descriptions don't at all."""
+    if is_generic(spelling):
         return 0.0
-    return 2.0 + total - 0.05 * len(free)
+    return profile_score(words_of_name(spelling), tuple((w,) for w in words_of_name(canonical)), canonical)[0]
 
 
-def block_keys(name: str) -> set[int]:
-    """Hashes under which a name is compared: its words each with one letter left out, two from seven letters on, its words joined, its initials."""
-    words = words_of_name(name)
+def slot_keys(slots: Slots, fuzzy: bool) -> set[int]:
+    """Hashes under which a name or a profile is compared: its words whole, joined, short forms and initials; ``fuzzy``: also words with one letter left out, two from seven letters on, and how given names begin."""
+    words = tuple(v[0] for v in slots)
     joined = "".join(words)
-    keys = {joined, *(joined[:k] + joined[k + 1 :] for k in range(len(joined)) if len(words) <= 2)} if joined else set()
-    for w in words:
-        if len(w) >= 2:
-            keys.add(w)
-            if len(w) >= 4:
-                keys.update(w[:k] + w[k + 1 :] for k in range(len(w)))
-            if 7 <= len(w) <= 40:
-                keys.update(w[:j] + w[j + 1 : k] + w[k + 1 :] for j, k in combinations(range(len(w)), 2))
-    given = words[0] if words else ""
-    if len(given) >= 3:  # short forms that may stand alone
-        keys |= {f"~{given[0]}{given[-1]}", f"^{given[:2]}", f"^{given[:3]}"} if len(words) > 1 or len(given) <= 6 else set()
-        keys.update(NICKNAMES.get(given, "").split())
+    keys = {joined, *(w for v in slots for w in v if len(w) >= 2)}
+    given = slots[0] if slots else ()
+    for g in given:
+        if len(g) >= 3:
+            keys.update(NICKNAMES.get(g, "").split())
     if len(words) >= 3:
         keys.add("#" + "".join(w[0] for w in words))
     if joined and len(joined) <= 8 and (len(words) == 1 or all(len(w) == 1 for w in words)):
         keys.add("#" + joined)
+    if fuzzy:
+        if len(words) <= 2:
+            keys.update(joined[:k] + joined[k + 1 :] for k in range(len(joined)))
+        for w in {w for v in slots for w in v}:
+            if len(w) >= 4:
+                keys.update(w[:k] + w[k + 1 :] for k in range(len(w)))
+            if 7 <= len(w) <= 40:
+                keys.update(w[:j] + w[j + 1 : k] + w[k + 1 :] for j, k in combinations(range(len(w)), 2))
+        for g in given:
+            if len(g) >= 3 and (len(words) > 1 or len(g) <= 6):  # short forms that may stand alone
+                keys |= {f"~{g[0]}{g[-1]}", f"^{g[:2]}", f"^{g[:3]}"}
     return {zlib.crc32(k.encode()) for k in keys if k}
 
 
-def _keyed(names: DataFrame, column: str) -> DataFrame:
-    """(source_id, column, key) rows for blocking of distinct (source_id, column)."""
+def block_keys(name: str, fuzzy: bool = True) -> set[int]:
+    """slot_keys of a written name."""
+    return slot_keys(tuple((w,) for w in words_of_name(name)), fuzzy)
+
+
+def _with_words(names: DataFrame, column: str, fuzzy: bool = False) -> DataFrame:
+    """(.., words) of distinct (source_id, column): the telling words with their numbers, as a profile's form; names that tell nobody are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = [None if is_generic(n) else " ".join(f"{k}:{w}" for k, w in enumerate(words_of_name(n))) for n in b.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string())], ["source_id", column, "words"])
+            yield out.filter(pa.array([bool(f) for f in forms], pa.bool_()))
+
+    return names.select("source_id", column).distinct().mapInArrow(run, f"source_id string, {column} string, words string")
+
+
+def _keyed(rows: DataFrame, kept: list[str], fuzzy: bool) -> DataFrame:
+    """(kept.., key) rows for blocking of rows (kept.., words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, keys = [], []
-            for i, n in enumerate(b.column(1).to_pylist()):
-                ks = block_keys(n)
+            for i, form in enumerate(b.column(len(kept)).to_pylist()):
+                ks = slot_keys(_slots(form), fuzzy)
                 row += [i] * len(ks)
                 keys += ks
             take = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.int64())], ["source_id", column, "key"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(len(kept))], pa.array(keys, pa.int64())], [*kept, "key"])
 
-    return names.select("source_id", column).distinct().mapInArrow(run, f"source_id string, {column} string, key bigint")
+    return rows.select(*kept, "words").mapInArrow(run, f"{', '.join(f'{c} string' for c in kept)}, key bigint")
 
 
-@F.pandas_udf(DoubleType())
-def _score(spelling: pd.Series, canonical: pd.Series) -> pd.Series:
-    return pd.Series([name_score(a, b) for a, b in zip(spelling, canonical)], dtype="float64")
+def _scored(pairs: DataFrame, least: float) -> DataFrame:
+    """(source_id, name, entity_id, canonical, score, learnt) of the pairs (source_id, name, words, entity_id, form, canonical) that fit; learnt: new 'slot:word' items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [profile_score(tuple(v[0] for v in _slots(w)), _slots(f), c) for w, f, c in zip(*(b.column(n).to_pylist() for n in ("words", "form", "canonical")))]
+            out = pa.RecordBatch.from_arrays(
+                [*[b.column(n) for n in ("source_id", "name", "entity_id", "canonical")], pa.array([g[0] for g in got], pa.float64()), pa.array([" ".join(f"{k}:{w}" for k, w in g[1]) for g in got], pa.string())], ["source_id", "name", "entity_id", "canonical", "score", "learnt"]
+            )
+            yield out.filter(pa.array([g[0] >= least for g in got], pa.bool_()))
+
+    return pairs.mapInArrow(run, "source_id string, name string, entity_id string, canonical string, score double, learnt string")
 
 
 @F.pandas_udf(DoubleType())
@@ -265,28 +321,42 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
     """
     p = params
     m = cut(mentions.where("mention_id is not null and name is not null and source_id is not null").select("mention_id", "source_id", "name", F.array_sort(F.array_distinct(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull()))).alias("aliases")).distinct())
-    e = entities.where("entity_id is not null and canonical_name is not null and source_id is not null").select("source_id", "entity_id", F.col("canonical_name").alias("form")).distinct()
-    profile = cut(e)
-    open_names = m.select("source_id", "name").distinct()
+    e = cut(entities.where("entity_id is not null and canonical_name is not null and source_id is not null").select("source_id", "entity_id", F.col("canonical_name").alias("form")).distinct())
+    canonical = cut(_with_words(e, "form").join(e, ["source_id", "form"]).select("source_id", "entity_id", F.col("form").alias("canonical"), "words"))  # an entity has a profile for each of its canonical names
+    word = F.split(F.col("item"), ":")
+    one = ["source_id", "entity_id", "canonical"]
+    items = lambda df, c, rank: df.select(*one, F.explode(F.split(c, " ")).alias("item")).where("item <> ''").select(*one, word[0].cast("int").alias("slot"), F.lit(rank).alias("rank"), word[1].alias("word"))
+    known = items(canonical, "words", 0)
+    profile = canonical
+    open_names = cut(_with_words(m, "name"))
     merged: DataFrame | None = None
     doubtful: DataFrame | None = None  # the ties of all rounds
-    while True:  # each round but the last takes names from the open ones
-        pairs = _keyed(open_names, "name").join(_keyed(profile, "form"), ["source_id", "key"]).select("source_id", "name", "form").distinct()
-        scored = pairs.withColumn("score", _score("name", "form")).where(F.col("score") >= p.least)
-        held = cut(scored.join(profile, ["source_id", "form"]).groupBy("source_id", "name", "entity_id").agg(F.max("score").alias("score")))
+    fuzzy = False
+    while True:  # each round but the first and the last takes names from the open ones
+        pairs = _keyed(open_names, ["source_id", "name"], fuzzy).join(_keyed(profile, one, fuzzy), ["source_id", "key"]).select(*one, "name").distinct()
+        pairs = pairs.join(profile.select(*one, F.col("words").alias("form")), one).join(open_names, ["source_id", "name"])
+        fits = _scored(pairs.select("source_id", "name", "words", "entity_id", "form", "canonical"), p.least)
+        held = cut(fits.groupBy("source_id", "name", "entity_id").agg(F.max(F.struct("score", "canonical", "learnt")).alias("_f")).select("source_id", "name", "entity_id", "_f.*"))
         best = Window.partitionBy("source_id", "name")
         lead = held.withColumn("top", F.max("score").over(best)).where(F.col("score") > F.col("top") - p.lead).withColumn("n", F.count("*").over(best))
-        sure = cut(lead.where("n = 1").select("source_id", "name", "entity_id", "score"))
+        sure = cut(lead.where("n = 1").select("source_id", "name", "entity_id", "score", "canonical", "learnt"))
         split = cut(lead.where("n > 1").select("source_id", "name", "entity_id", "score"))
         merged = sure if merged is None else merged.unionByName(sure)
         doubtful = split if doubtful is None else doubtful.unionByName(split)
-        if not sure.take(1):
+        some = bool(sure.take(1))
+        if fuzzy and not some:
             break
-        # only spellings that name more than a family enrich a profile
-        profile = sure.where("score > 2.3").select("source_id", "entity_id", F.col("name").alias("form"))
         open_names = cut(open_names.join(held.select("source_id", "name").distinct(), ["source_id", "name"], "left_anti"))
         if not open_names.take(1):
             break
+        # only spellings that name more than a family enrich a profile; a profile holds each different word once
+        new = items(sure.where("score > 2.3"), "learnt", 1).distinct()
+        changed = new.select(*one).distinct()
+        known = cut(known.unionByName(new.join(known.select(*one, "slot", "word"), [*one, "slot", "word"], "left_anti").select(known.columns)))
+        words = F.transform(F.array_sort(F.collect_list(F.struct("slot", "rank", "word"))), lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["word"]))
+        wanted = known.join(changed, one, "left_semi") if fuzzy else known  # after the first round every profile meets the open names again, under more keys
+        profile = cut(wanted.groupBy(*one).agg(F.array_join(words, " ").alias("words")))
+        fuzzy = True
     linked = m.join(merged.select("source_id", "name", "entity_id"), ["source_id", "name"]).select("mention_id", "entity_id")
     told = (
         m.join(doubtful, ["source_id", "name"]).join(e, ["source_id", "entity_id"]).withColumn("told", _alias_score("aliases", "form")).where("told > 0")
