@@ -10,8 +10,10 @@ on words with misspellings mended.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,42 +63,72 @@ def _grams(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " "))))
 
 
+@lru_cache(maxsize=1 << 19)
+def _likeness(a: str, b: str) -> float:
+    """Ratio of like spelling of two words from 0.7 on, else 0."""
+    ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return ratio if ratio >= 0.7 else 0.0
+
+
+@lru_cache(maxsize=1 << 18)
+def _letters(word: str) -> tuple[str, int, int]:
+    """(word, length, set of its letters as bits)."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return word, len(word), bits
+
+
+def _maybe_like(words: list[str], spare: list[str]) -> dict[str, list[str]]:
+    """Words with the spare ones that may be misspellings of them: lengths differ by two at most, and so many letters are shared that the ratio can reach 0.7."""
+    out = {}
+    known = [_letters(v) for v in spare]
+    for w, n, bits in map(_letters, words):
+        if n > 2:
+            near = [v for v, m, other in known if -2 <= m - n <= 2 and 2 * min(n - (bits & ~other).bit_count(), m - (other & ~bits).bit_count()) >= 0.7 * (n + m)]
+            if near:
+                out[w] = near
+    return out
+
+
 def statement_similarity(a: str, b: str) -> float:
     """Share of the longer statement's word pairs that the other holds too, 0 to 1."""
     return statement_shares(a, b)[0]
 
 
-def statement_shares(a: str, b: str) -> tuple[float, float]:
+def statement_shares(a: str, b: str, least: float = 0.0) -> tuple[float, float]:
     """Shares of the longer and of the shorter statement's word pairs that the other holds too, 0 to 1.
 
     Words of ``a`` that only ``b`` lacks are replaced by b's closest word of like
-    spelling before pairs are compared. Sentences may stand in another order.
+    spelling before pairs are compared. Sentences may stand in another order. Where not even all such words together can lift the
+    first share to ``least``, it is given without them: below ``least`` either way.
     """
     wa, wb = re.findall(r"[^\W_]+", a.lower()), re.findall(r"[^\W_]+", b.lower())
     if not wa or not wb:
         return (1.0, 1.0) if wa == wb else (0.0, 0.0)
+    pairs = Counter(zip(["", *wb], [*wb, ""]))
+    longer, shorter = max(len(wa), len(wb)) + 1, min(len(wa), len(wb)) + 1
+
+    def shared(words: list[str]) -> int:
+        return sum(min(n, pairs[x]) for x, n in Counter(zip(["", *words], [*words, ""])).items() if x in pairs)
+
+    plain = shared(wa)
     sa, sb = set(wa), set(wb)
-    spare = sorted(sb - sa)
-    mended = {}
-    for w in sorted(sa - sb):
-        scored = [(SequenceMatcher(None, w, v, autojunk=False).ratio(), v) for v in spare if abs(len(v) - len(w)) <= 2 and len(w) > 2]
-        if scored and max(scored)[0] >= 0.7:
-            mended[w] = max(scored)[1]
-    wa = [mended.get(w, w) for w in wa]
-    left: dict[tuple[str, str], int] = {}
-    for pair in zip(["", *wb], [*wb, ""]):
-        left[pair] = left.get(pair, 0) + 1
-    shared = 0
-    for pair in zip(["", *wa], [*wa, ""]):
-        if left.get(pair, 0) > 0:
-            left[pair] -= 1
-            shared += 1
-    return shared / (max(len(wa), len(wb)) + 1), shared / (min(len(wa), len(wb)) + 1)
-
-
-@F.pandas_udf(StructType().add("similarity", "double").add("held", "double"))
-def _shares(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([statement_shares(x, y) for x, y in zip(a, b)], columns=["similarity", "held"], dtype="float64")
+    near = _maybe_like(sorted(sa - sb), sorted(sb - sa))
+    if near and plain + 2 * sum(w in near for w in wa) >= least * longer:  # a mended word is in two pairs
+        best = {w: max((_likeness(w, v), v) for v in vs) for w, vs in near.items()}
+        plain = shared([best[w][1] if w in best and best[w][0] else w for w in wa])
+    return plain / longer, plain / shorter
+
+
+def _shares(least: float):
+    """Shares of two columns of statements; the first is exact from ``least`` on."""
+
+    @F.pandas_udf(StructType().add("similarity", "double").add("held", "double"))
+    def shares(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statement_shares(x, y, least) for x, y in zip(a, b)], columns=["similarity", "held"], dtype="float64")
+
+    return shares
 
 
 def cross_split_overlaps(
@@ -138,7 +170,7 @@ def cross_split_overlaps(
     same = (
         pairs.join(side(False, "eval"), ["subject", "eval_form"])
         .join(side(True, "train"), ["subject", "train_form"])
-        .withColumn("shares", _shares("eval_text", "train_text"))
+        .withColumn("shares", _shares(min(params.same, params.most))("eval_text", "train_text"))
         .select("subject", "eval_form", "train_form", "shares.*")
         .where((F.col("similarity") >= params.same) | ((F.col("held") >= params.held) & (F.col("similarity") >= params.most)))
         .select("subject", "eval_form", "train_form", "similarity")
