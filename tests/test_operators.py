@@ -123,7 +123,7 @@ def test_traversal(spark):
     assert one == {"arm": 1.5, "london": 0.5}
     two = {r.chunk_id: r.raw_score for r in graph.traverse(entry, edges, places, 2, 5).collect()}
     assert two["far"] == pytest.approx(2 / 3, abs=1e-5)
-    assert rows(graph.collapse_relations(spark.createDataFrame([("x", "y", "B", 1), ("y", "x", "A", 2), ("x", "x", "A", 1)], "subject string, object string, relation_type string, weight long"))) == [("x", "y", "A", 3)]
+    assert rows(graph.collapse_relations(spark.createDataFrame([("x", "y", "B", 1), ("y", "x", "A", 2), ("x", "x", "A", 1)], "subject string, object string, relation_type string, weight long"))) == [("y", "x", "A", 3)]
 
 
 def test_component_labels(spark):

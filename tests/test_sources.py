@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.sources import readers
+from weftline.sources import readers, sinks
 from weftline.streaming.latency import run_available, windowed_latency
 
 
@@ -31,8 +31,11 @@ def test_gold_and_claims(spark, tmp_path):
 def test_cache_and_resume(spark, tmp_path):
     path = str(tmp_path / "cache")
     for n, v in ((1, "old"), (2, "new")):
-        readers.append_cache(spark.createDataFrame([("k", v, n)], "key string, text string, written_at long"), path)
+        sinks.append_cache(spark.createDataFrame([("k", v, n)], "key string, text string, written_at long").coalesce(1), path)
     assert [r.text for r in readers.read_cache(spark, path, "key string, text string, written_at long").collect()] == ["new"]
+    twice = tmp_path / "twice.jsonl"
+    twice.write_text('{"key": "a", "text": "first"}\n\n{"key": "b", "text": "only"}\n{"key": "a", "text": "last"}\n{"text": "no key"}\n')
+    assert {(r.key, r.text) for r in readers.read_cache(spark, str(twice), "key string, text string").collect()} == {("a", "last"), ("b", "only")}
     rows = spark.range(5)
     assert readers.remaining(rows, spark.createDataFrame([(1,), (1,)], "id long"), "id").count() == 4
 

@@ -30,10 +30,38 @@ def cooccurrence(found: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.entity_id").alias("subject_entity_id"), F.col("b.entity_id").alias("object_entity_id")).agg(F.count("*").alias("weight"))
 
 
-def collapse_relations(relations: DataFrame) -> DataFrame:
-    """(low, high, relation_type, weight) of directed typed relations (subject, object, relation_type, weight): one edge per unordered pair."""
-    ends = relations.where("subject <> object").select(F.least("subject", "object").alias("low"), F.greatest("subject", "object").alias("high"), "relation_type", "weight")
-    return ends.groupBy("low", "high").agg(F.min("relation_type").alias("relation_type"), F.sum("weight").alias("weight"))
+def entity_provenance(mentions: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, provenance, n_places): the distinct places (chunk_id, char_start, char_end) of each entity in order.
+
+    Rows are made distinct before they are gathered, so an entity holds one entry a place, however often it was written.
+    """
+    places = mentions.select(key, "chunk_id", "char_start", "char_end").distinct()
+    return places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "char_start", "char_end"))).alias("provenance"), F.count("*").alias("n_places"))
+
+
+def collapse_relations(relations: DataFrame, provenance: str | None = None) -> DataFrame:
+    """(subject, object, relation_type, weight[, provenance]) of directed typed relations (subject, object, relation_type, weight ..): one edge per unordered pair.
+
+    Type, subject and object are those of the relation whose type comes first (of several, the smaller subject); weights add up, and
+    the sets of places in the column ``provenance`` are united in order. Relations of an entity with itself are left out.
+    """
+    ends = relations.where("subject <> object").withColumn("_low", F.least("subject", "object")).withColumn("_high", F.greatest("subject", "object"))
+    first = F.min(F.struct("relation_type", "subject", "object"))
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(provenance)))).alias("provenance")] if provenance else []
+    edges = ends.groupBy("_low", "_high").agg(first.alias("_f"), F.sum("weight").alias("weight"), *more)
+    return edges.select("_f.subject", "_f.object", "_f.relation_type", "weight", *(["provenance"] if provenance else []))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(entity_id, neighbour_id, weight) of edges, once from either end."""
+    turned = edges.select(F.col("object_entity_id").alias("entity_id"), F.col("subject_entity_id").alias("neighbour_id"), "weight")
+    return edges.select(F.col("subject_entity_id").alias("entity_id"), F.col("object_entity_id").alias("neighbour_id"), "weight").unionByName(turned)
+
+
+def entity_by_name(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with entity_id: the entity of that name, whatever the case; of several the last by id."""
+    known = entities.groupBy(F.lower("canonical_name").alias("_n")).agg(F.max("entity_id").alias("entity_id"))
+    return names.join(known, F.lower(F.col(name)) == F.col("_n"), "left").drop("_n")
 
 
 def entry_entities(queries: DataFrame, entities: DataFrame, least: int = 2) -> DataFrame:
@@ -63,10 +91,12 @@ def traverse(entry: DataFrame, edges: DataFrame, places: DataFrame, hops: int, t
 
 
 def topology(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(n_entities, n_relations, density, average_degree)."""
-    n = entities.agg(F.count("*").alias("n_entities")).crossJoin(edges.agg(F.count("*").alias("n_relations")))
+    """(n_entities, n_relations, n_components, density, average_degree); an entity without an edge is a component of its own."""
+    labels = component_labels(edges, "subject_entity_id", "object_entity_id")
+    tied = labels.agg(F.count("*").alias("_tied"), F.countDistinct("label").alias("_groups"))
+    n = entities.agg(F.count("*").alias("n_entities")).crossJoin(edges.agg(F.count("*").alias("n_relations"))).crossJoin(tied).withColumn("n_components", F.col("n_entities") - F.col("_tied") + F.col("_groups"))
     n_, m = F.col("n_entities"), F.col("n_relations")
-    return n.select("n_entities", "n_relations", F.round(F.coalesce(F.try_divide(2.0 * m, (n_ * (n_ - 1)).cast("double")), F.lit(0.0)), 9).alias("density"), F.round(F.coalesce(F.try_divide(2.0 * m, n_.cast("double")), F.lit(0.0)), 6).alias("average_degree"))
+    return n.select("n_entities", "n_relations", "n_components", F.round(F.coalesce(F.try_divide(2.0 * m, (n_ * (n_ - 1)).cast("double")), F.lit(0.0)), 9).alias("density"), F.round(F.coalesce(F.try_divide(2.0 * m, n_.cast("double")), F.lit(0.0)), 6).alias("average_degree"))
 
 
 def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:

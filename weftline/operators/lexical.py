@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,36 +16,37 @@ from weftline.functions.text import tokens
 from weftline.session import cut
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) of chunks (chunk_id, text)."""
-    terms = chunks.select("chunk_id", tokens(F.col("text")).alias("_w")).select("chunk_id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-    return terms.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+def term_statistics(chunks: DataFrame, cfg: Retrieval = Retrieval()) -> tuple[DataFrame, int, float]:
+    """((term, df, idf), number of chunks, their mean length): idf = ln(n - df + .5) - ln(df + .5), a negative one replaced by epsilon times the mean over all terms.
+
+    Chunks (chunk_id, words) are counted with map-side combine by term only; the table of terms is kept, as its mean and its rows are both needed.
+    """
+    counts = cut(chunks.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    n, length = chunks.agg(F.count("*"), F.avg(F.size("words"))).first()
+    raw = F.ln(F.lit(float(n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    mean = counts.agg(F.avg(raw)).first()[0] or 0.0
+    return counts.select("term", "df", F.when(raw < 0, cfg.epsilon * mean).otherwise(raw).alias("idf")), n, float(length or 1.0)
 
 
-def term_statistics(index: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
-    """(term, df, idf): idf = ln(n - df + .5) - ln(df + .5), a negative one replaced by epsilon times the mean over all terms."""
-    n = chunks.agg(F.count("*").alias("n"))
-    raw = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, words): tokenised once, and kept for all that is done with them."""
+    return cut(chunks.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")))
 
 
-#: Queries scored at once, and words of a batch of chunks whose rows of scores are held at once.
-QUERY_BLOCK = 500
-_WORD = re.compile(r"[a-z0-9]+")
+#: Queries sent to all executors for one pass over the chunks, and of these how many are scored at once.
+QUERY_PASS, QUERY_BLOCK = 20_000, 500
 
 
 def _scores(sent, cfg: Retrieval):
-    """Partition of chunks to the rows that can be among the best of each query in a block."""
+    """Partition of chunks to the rows that can be among the best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row, weight, avgdl = sent.value
+        ids, row, bounds, query, weight, avgdl = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 terms, tfs, owner = [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    words = _WORD.findall(t.lower()) if t else ()
+                for i, words in enumerate(b.column(1).to_pylist()):
                     norm = cfg.k1 * (1 - cfg.b + cfg.b * len(words) / avgdl)
                     for w, tf in Counter(words).items():
                         if (k := row.get(w)) is not None:
@@ -54,13 +55,25 @@ def _scores(sent, cfg: Retrieval):
                             owner.append(i)
                 if not terms:
                     continue
-                at = np.array(owner)
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                s = np.round(np.add.reduceat(weight[terms] * np.array(tfs)[:, None], first), 6)
-                n = min(cfg.top_k, len(s))
-                kth = -np.partition(-s, n - 1, axis=0)[n - 1]
-                r, q = np.nonzero((s >= kth) & (s > 0))  # ties at the k-th place stay for the final order
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(at[first][r])), pa.array(s[r, q])], ["query_id", "chunk_id", "raw_score"])
+                chunk, at = np.unique(owner, return_inverse=True)
+                known, col = np.unique(terms, return_inverse=True)
+                held = np.zeros((len(chunk), len(known)))
+                held[at, col] = tfs
+                entry = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in known])
+                place = np.repeat(np.arange(len(known)), bounds[known + 1] - bounds[known])
+                order = np.argsort(query[entry], kind="stable")
+                entry, place = entry[order], place[order]
+                for first in range(0, len(ids), QUERY_BLOCK):
+                    x, y = np.searchsorted(query[entry], [first, first + QUERY_BLOCK])
+                    if x == y:
+                        continue
+                    dense = np.zeros((len(known), min(QUERY_BLOCK, len(ids) - first)))
+                    dense[place[x:y], query[entry[x:y]] - first] = weight[entry[x:y]]
+                    s = np.round(held @ dense, 6)
+                    n = min(cfg.top_k, len(s))
+                    kth = -np.partition(-s, n - 1, axis=0)[n - 1]
+                    r, q = np.nonzero((s >= kth) & (s > 0))  # ties at the k-th place stay for the final order
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q + first]), b.column(0).take(pa.array(chunk[r])), pa.array(s[r, q])], ["query_id", "chunk_id", "raw_score"])
 
     return run
 
@@ -70,30 +83,42 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieva
 
     A query's terms count as often as it has them. Chunks without a common term score 0 and fill
     up to top_k in the order of their ids; of those only the 2 * top_k smallest ids can be needed.
-    Queries go out in blocks of bounded number; each partition of chunks multiplies its weighted
-    terms with a block and passes on only what can be among the best, so a word that is in
+    Chunks are tokenised once. A pass over them serves QUERY_PASS queries, sent as their weighted terms, a few MB; each partition of chunks multiplies its
+    terms with a block of them at a time and passes on only what can be among the best, so a word that is in
     every chunk and every query costs no shuffle.
     """
     spark = chunks.sparkSession
-    chunks = chunks.select("chunk_id", "text")
-    index = postings(chunks)
-    asked = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
-    weighted = cut(asked.join(term_statistics(index, chunks, cfg).select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
-    avgdl = chunks.agg(F.avg(F.size(tokens(F.col("text"))))).first()[0] or 1.0
-    kinds = {c: queries.schema["query_id"].dataType.simpleString() if c == "query_id" else chunks.schema["chunk_id"].dataType.simpleString() for c in ("query_id", "chunk_id")}
-    blocks = max(1, -(-weighted.select("query_id").distinct().count() // QUERY_BLOCK))
-    smallest = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * cfg.top_k)
+    words = tokenised(chunks.select("chunk_id", "text"))
+    stats, _, avgdl = term_statistics(words, cfg)
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighted = cut(asked.join(stats.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": chunks.schema["chunk_id"].dataType.simpleString()}
+    passes = max(1, -(-weighted.select("query_id").distinct().count() // QUERY_PASS))
+    smallest = words.select("chunk_id").orderBy("chunk_id").limit(2 * cfg.top_k)
     best = queries.select("query_id").distinct().crossJoin(F.broadcast(smallest)).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"))
-    for i in range(blocks):
-        held = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # the terms of about QUERY_BLOCK queries
+    for i in range(passes):
+        held = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).orderBy("term", "query_id").toPandas()  # the terms of about QUERY_PASS queries
         if not len(held):
             continue
         ids, q = np.unique(held["query_id"].to_numpy(), return_inverse=True)
-        row = {t: k for k, t in enumerate(held["term"].unique())}
-        weight = np.zeros((len(row), len(ids)))
-        weight[held["term"].map(row).to_numpy(), q] = held["w"]
-        sent = spark.sparkContext.broadcast((ids, row, weight, float(avgdl)))
-        best = best.unionByName(chunks.mapInArrow(_scores(sent, cfg), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"))
+        term, first = np.unique(held["term"].to_numpy().astype(str), return_index=True)
+        sent = spark.sparkContext.broadcast((ids, {t: k for k, t in enumerate(term.tolist())}, np.append(first, len(held)), q, held["w"].to_numpy(), avgdl))
+        best = best.unionByName(words.mapInArrow(_scores(sent, cfg), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"))
     best = best.groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.top_k)
+
+
+class LexicalIndex:
+    """An index that is built once and searched by frames of queries: index(chunks), then query(queries, top_k)."""
+
+    def __init__(self, cfg: Retrieval = Retrieval()) -> None:
+        self.cfg, self._chunks = cfg, None
+
+    def index(self, chunks: DataFrame) -> None:
+        self._chunks = chunks.select("chunk_id", "text")
+
+    def query(self, queries: DataFrame, top_k: int) -> DataFrame:
+        if self._chunks is None:
+            raise ValueError("nothing is indexed")
+        return bm25_search(queries, self._chunks, replace(self.cfg, top_k=top_k))

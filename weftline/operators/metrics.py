@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 VERDICTS = ("CONSISTENT", "CONTRADICTORY", "INSUFFICIENT_EVIDENCE")
 
 
@@ -66,6 +68,87 @@ def stage_latency(log: DataFrame, stage: str, at: str) -> DataFrame:
     return log.where(F.col(at).isNotNull()).groupingSets([[stage], []], stage).agg(F.timestamp_diff("MILLISECOND", F.min(at), F.max(at)).alias("milliseconds")).select(F.col(stage).alias("stage"), "milliseconds")
 
 
+def micro_citations(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """citation_metrics over all runs: sums of citations by sums, so runs that cite much count more."""
+    return citation_metrics(cited, gold)
+
+
+def contradiction_recall(pairs: DataFrame) -> DataFrame:
+    """(cdr): the share of gold contradictions that are found; null without any."""
+    m = verdict_metrics(pairs).where("verdict = 'CONTRADICTORY'")
+    return m.select(F.when(F.col("support") > 0, F.col("recall")).alias("cdr"))
+
+
+def variant_metrics(pairs: DataFrame, variant: str = "variant") -> DataFrame:
+    """(variant, n, correct, accuracy, cdr) of pairs (variant, gold, predicted), all variants in one job."""
+    both = pairs.where("gold is not null and predicted is not null")
+    hit = F.col("gold") == F.col("predicted")
+    against = F.col("gold") == "CONTRADICTORY"
+    m = both.groupBy(variant).agg(F.count("*").alias("n"), F.count_if(hit).alias("correct"), F.count_if(hit & against).alias("_h"), F.count_if(against).alias("_g"))
+    return m.select(variant, "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("accuracy"), F.round(F.try_divide(F.col("_h").cast("double"), F.col("_g").cast("double")), 6).alias("cdr"))
+
+
+def contribution(per_variant: DataFrame, full: str = "full", variant: str = "variant", value: str = "accuracy") -> DataFrame:
+    """(variant, value, delta): what each variant lacks against the full one; without a full variant the delta is null."""
+    whole = per_variant.where(F.col(variant) == full).agg(F.max(value).alias("_full"))  # one row
+    return per_variant.crossJoin(F.broadcast(whole)).select(variant, value, F.round(F.col("_full") - F.col(value), 6).alias("delta"))
+
+
+def compare_verifiers(rows: DataFrame) -> DataFrame:
+    """(n, changes, corrections, regressions, accuracy_a, accuracy_b) of rows (gold, a, b) that two verifiers judged; rows with a null are left out."""
+    r = rows.where("gold is not null and a is not null and b is not null")
+    right = lambda c: F.col(c) == F.col("gold")
+    n = r.agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changes"), F.count_if(~right("a") & right("b")).alias("corrections"), F.count_if(right("a") & ~right("b")).alias("regressions"), F.count_if(right("a")).alias("_a"), F.count_if(right("b")).alias("_b"))
+    share = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("n").cast("double")), 6)
+    return n.select("n", "changes", "corrections", "regressions", share("_a").alias("accuracy_a"), share("_b").alias("accuracy_b"))
+
+
+def verdict_changes(baseline: DataFrame, other: DataFrame, key: str, verdict: str = "verdict") -> DataFrame:
+    """(key, before, after) of the rows both runs have and judge differently; a null is a verdict of its own."""
+    both = baseline.select(key, F.col(verdict).alias("before")).join(other.select(key, F.col(verdict).alias("after")), key)
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def missed_contradictions(verdicts: DataFrame, fused: DataFrame, claims: DataFrame) -> DataFrame:
+    """(parent_claim_id, n_evidence, cause) of gold contradictions judged otherwise: no atomic claim had evidence, or the verifier missed it.
+
+    verdicts (parent_claim_id, gold, predicted), claims (claim_id, parent_claim_id), fused (atomic_claim_id, chunk_id).
+    """
+    n = claims.join(fused.groupBy(F.col("atomic_claim_id").alias("claim_id")).agg(F.count("*").alias("n")), "claim_id", "left").groupBy("parent_claim_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_evidence"))
+    missed = verdicts.where("gold = 'CONTRADICTORY' and predicted <> 'CONTRADICTORY'").select("parent_claim_id").distinct().join(n, "parent_claim_id", "left")
+    return missed.select("parent_claim_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.when(F.coalesce("n_evidence", F.lit(0)) == 0, "retrieval").otherwise("verifier").alias("cause"))
+
+
+def grounded_contradictions(examples: DataFrame, cited: DataFrame, gold: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, grounded): whether a chunk cited against an example is among its gold contradicting ones; null unless its gold verdict is a contradiction with such chunks."""
+    hits = cited.where("kind = 'contradiction'").select(key, "chunk_id").distinct().join(gold.select(key, "chunk_id").distinct(), [key, "chunk_id"], "left_semi").select(key, F.lit(True).alias("_hit")).distinct()
+    asked = gold.select(key, F.lit(True).alias("_asked")).distinct()
+    told = examples.select(key, "gold").distinct().join(asked, key, "left").join(hits, key, "left")
+    return told.select(key, F.when((F.col("gold") == "CONTRADICTORY") & F.col("_asked"), F.coalesce("_hit", F.lit(False))).alias("grounded"))
+
+
+def gold_sanity(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, sane, note) of (key, gold, predicted): a consistent claim may stay without enough evidence, but never be contradicted; the others must be met."""
+    gold, got = F.col("gold"), F.col("predicted")
+    tolerated = (gold == "CONSISTENT") & (got == "INSUFFICIENT_EVIDENCE")
+    note = F.when(gold == got, "matched").when(tolerated, "not enough evidence, tolerated").when((gold == "CONSISTENT"), "consistent claim contradicted").otherwise(F.concat(F.lit("expected "), gold, F.lit(", got "), got))
+    return pairs.where("gold is not null and predicted is not null").select(key, ((gold == got) | tolerated).alias("sane"), note.alias("note"))
+
+
+def same_runs(one: DataFrame, other: DataFrame, key: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """(n, same, every_same): how many keys of two runs have equal fingerprints; a key only one has is not the same."""
+    both = one.select(key, F.col(fingerprint).alias("_a")).join(other.select(key, F.col(fingerprint).alias("_b")), key, "full")
+    n = both.agg(F.count("*").alias("n"), F.count_if(F.col("_a") == F.col("_b")).alias("same"))
+    return n.select("n", "same", (F.col("n") == F.col("same")).alias("every_same"))
+
+
+def call_cost(texts: DataFrame, key: str, text: str, answer_tokens: int, price_in: float, price_out: float) -> DataFrame:
+    """(key, calls, tokens, cost) of one call per text: about four characters a token, at least one, and prices per million tokens."""
+    n = texts.select(key, F.greatest(F.lit(1), F.floor(F.length(text) / 4)).alias("_t"))
+    per = n.groupBy(key).agg(F.count("*").alias("calls"), F.sum("_t").cast("bigint").alias("tokens"))
+    return per.select(key, "calls", "tokens", F.round(F.col("tokens") * price_in / 1e6 + F.col("calls") * answer_tokens * price_out / 1e6, 6).alias("cost"))
+
+
 def stratified_sample(rows: DataFrame, n: int, strata: list[str], key: str) -> DataFrame:
     """At most ``n`` rows spread over the strata in proportion, each stratum's first by key; the last stratum takes what is left.
 
@@ -82,14 +165,18 @@ def stratified_sample(rows: DataFrame, n: int, strata: list[str], key: str) -> D
         t = F.col(c).eqNullSafe(F.col(f"_{c}"))
         same = t if same is None else same & t
     pos = Window.partitionBy(*strata).orderBy(key)
-    return rows.withColumn("_pos", F.row_number().over(pos)).join(F.broadcast(quota), same).where(F.col("_pos") <= F.col("q")).select(rows.columns)
+    return rows.withColumn("_pos", F.row_number().over(pos)).join(quota, same).where(F.col("_pos") <= F.col("q")).select(rows.columns)
 
 
 def order_statistics(values: DataFrame, column: str) -> DataFrame:
-    """(n, least, median, p95, most, mean): each an element of the sorted values at floor(share * n)."""
+    """(n, least, median, p95, most, mean): each an element of the sorted values at floor(share * n).
+
+    Values are counted, and counts summed over ranges of values first, so that only the range that holds an element is sorted through, not all distinct values.
+    """
     n = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    run = n.withColumn("upto", F.sum("c").over(Window.orderBy(column)))  # one row per distinct value
-    total = Window.partitionBy(F.lit(1))
-    run = run.withColumn("n", F.sum("c").over(total))
+    spans = cut(n.repartitionByRange(column).select(column, "c", F.spark_partition_id().alias("_p")))  # read twice, so the ranges have to be settled
+    before = spans.groupBy("_p").agg(F.sum("c").alias("_c"), F.min(column).alias("_v"))  # one row per partition
+    before = before.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_c").over(Window.partitionBy(F.lit(1))))
+    run = spans.join(F.broadcast(before.select("_p", "_before", "n")), "_p").withColumn("upto", F.col("_before") + F.sum("c").over(Window.partitionBy("_p").orderBy(column)))
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col(column)))
-    return run.agg(F.max("n").alias("n"), F.min(column).alias("least"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max(column).alias("most"), F.round(F.sum(F.col(column) * F.col("c")) / F.sum("c"), 6).alias("mean"))
+    return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min(column).alias("least"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max(column).alias("most"), F.round(F.sum(F.col(column) * F.col("c")) / F.sum("c"), 6).alias("mean"))

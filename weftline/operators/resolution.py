@@ -65,6 +65,12 @@ def resolve(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention_id").distinct().join(labels, F.col("mention_id") == F.col("node"), "left").select("mention_id", F.coalesce("label", "mention_id").alias("component"))
 
 
+def local_entities(mentions: DataFrame, components: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source_id, local_id, entity_id): the entity a narrative's local id was merged into; of an id used for several, the smallest."""
+    at = mentions.join(components, "mention_id").join(entities.select("component", "entity_id"), "component")
+    return at.groupBy("source_id", "local_id").agg(F.min("entity_id").alias("entity_id"))
+
+
 def canonical_entities(mentions: DataFrame, components: DataFrame) -> DataFrame:
     """(component, entity_id, canonical_name, entity_type, n_mentions) per component.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -78,6 +80,25 @@ def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 64) -> Dat
     return at.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("at")[i], F.lit(0.0))).alias("embedding"))
 
 
+class HashedEmbedder:
+    """An Embedder of hashed bags of words, as hashed_embedding makes them, for where no model is at hand."""
+
+    def __init__(self, dims: int = 64) -> None:
+        self.dims, self._dim = dims, {}
+
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        if not texts:
+            raise ValueError("nothing to embed")
+        out = np.zeros((len(texts), self.dims))
+        for i, t in enumerate(texts):
+            for w in re.findall(r"[a-z0-9]+", t.lower()):
+                if w not in self._dim:
+                    self._dim[w] = hashlib.sha256(w.encode()).digest()[-1] % self.dims
+                out[i, self._dim[w]] += 1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
 def cache_misses(texts: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """Distinct texts that the cache doesn't hold: the only ones to compute."""
     return texts.where(F.col(text).isNotNull()).select(text).distinct().join(cache.select(text), text, "left_anti")

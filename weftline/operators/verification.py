@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,18 @@ def lexical_labels(pairs: DataFrame, premise: str = "premise", hypothesis: str =
     return out.withColumn("label", label).withColumn("score", score).drop("_share")
 
 
+class LexicalScorer:
+    """lexical_labels as a PairScorer."""
+
+    def score(self, premises: Sequence[str], hypotheses: Sequence[str]) -> list[tuple[str, float]]:
+        out = []
+        for p, h in zip(premises, hypotheses):
+            asked = set(re.findall(r"[a-z0-9]+", h.lower()))
+            share = round(len(asked & set(re.findall(r"[a-z0-9]+", p.lower()))) / len(asked), 6) if asked else 0.0
+            out.append(("CONTRADICTION", round(1 - share, 6)) if share < 0.1 else ("ENTAILMENT" if share >= 0.5 else "NEUTRAL", share))
+        return out
+
+
 def _strong(label: str, threshold: Column | float) -> Column:
     return (F.col("label") == label) & (F.col("score") >= threshold)
 
@@ -49,6 +64,7 @@ def cited_evidence(classified: DataFrame, results: DataFrame, rules: Rules = Rul
     r = results.join(classified.select(F.col("claim_id").alias("atomic_claim_id"), "status"), "atomic_claim_id")
     against = (F.col("status") == "CONTRADICTED") & _strong("CONTRADICTION", rules.contradiction)
     support = (F.col("status") == "SUPPORTED") & _strong("ENTAILMENT", rules.entailment)
+    # The wording of both explanations.
     text = F.when(against, F.format_string("NLI contradiction (score=%.3f) against evidence chunk '%s'.", "score", "evidence_chunk_id")).otherwise(F.format_string("NLI entailment (score=%.3f) from evidence chunk '%s'.", "score", "evidence_chunk_id"))
     return r.where(against | support).select("atomic_claim_id", "evidence_chunk_id", F.when(against, "contradiction").otherwise("support").alias("kind"), F.col("score").alias("nli_score"), text.alias("explanation"))
 
@@ -63,6 +79,19 @@ def verdicts(classified: DataFrame, rules: Rules = Rules(), key: list[str] = ["p
     return n.withColumn("verdict", verdict).withColumn("fired_rule", fired)
 
 
+def without_claims(parents: DataFrame, classified: DataFrame, key: str = "parent_claim_id") -> DataFrame:
+    """(key, reason) of the sets that have no claim to judge: they get no verdict."""
+    return parents.select(key).distinct().join(classified.select(key).distinct(), key, "left_anti").withColumn("reason", F.lit("no claims"))
+
+
+def claim_scores(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """(claim_id, n_results, best_contradiction, best_entailment, margin): each claim's scores, for thresholds to be read from; claims without results are there too."""
+    best = lambda label: F.max(F.when(F.col("label") == label, F.col("score")))
+    per = results.groupBy(F.col("atomic_claim_id").alias("claim_id")).agg(F.count("*").alias("n_results"), best("CONTRADICTION").alias("best_contradiction"), best("ENTAILMENT").alias("best_entailment"))
+    out = claims.select("claim_id").distinct().join(per, "claim_id", "left")
+    return out.select("claim_id", F.coalesce("n_results", F.lit(0)).alias("n_results"), "best_contradiction", "best_entailment", F.round(F.col("best_contradiction") - F.col("best_entailment"), 6).alias("margin"))
+
+
 def sweep(claims: DataFrame, results: DataFrame, contradiction: list[float], entailment: list[float], strict: bool = True) -> DataFrame:
     """Verdict counts at every point of the threshold grid, in one job; the grid is a broadcast of a few rows.
 

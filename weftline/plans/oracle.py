@@ -27,7 +27,7 @@ def _list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-CHUNKS = "c as (select chunk_id, min(text) as text, min(source_id) as source_id, min(char_start) as char_start, min(char_end) as char_end from document_chunks group by chunk_id)"
+CHUNKS = "c as (select chunk_id, text, source_id, char_start, char_end from document_chunks qualify row_number() over (partition by chunk_id order by text nulls first, source_id nulls first, char_start nulls first, char_end nulls first) = 1)"
 CLAIMS = "cl as (select distinct * from atomic_claims)"
 STAMPED = "st as (select distinct evidence_id, atomic_claim_id, query_id, source, chunk_id, rank, recorded_at from retrieved_evidence where atomic_claim_id is not null and query_id is not null and rank is not null)"
 RRF = (
@@ -93,7 +93,7 @@ def _walk(hops: int) -> str:
     return f"with {GRAPH}, {BOTH}, {_HOP1}{', ' + _HOP2 if hops == 2 else ''}, sc as (select query_id, chunk_id, round(sum(gain), 6) as raw_score from ({reached}) join pl using (entity_id) group by all) select query_id, chunk_id, raw_score from sc qualify row_number() over (partition by query_id order by raw_score desc, chunk_id) <= 10"
 
 
-MENTIONS = "m as (select mention_id, min(source_id) as source_id, min(local_id) as local_id, min(name) as name, min(type) as type, min(char_start) as char_start, min(chunk_id) as chunk_id, min(coalesce(aliases, [])) as aliases from raw_entity_mentions where mention_id is not null and source_id is not null group by mention_id)"
+MENTIONS = "m as (select mention_id, source_id, local_id, name, type, char_start, chunk_id, coalesce(aliases, []) as aliases from raw_entity_mentions where mention_id is not null and source_id is not null qualify row_number() over (partition by mention_id order by source_id, local_id nulls first, name nulls first, type nulls first, char_start nulls first, chunk_id nulls first, coalesce(aliases, [])) = 1)"
 
 
 def _norm(c: str) -> str:
@@ -117,7 +117,85 @@ TAGS = (
 )
 _CANON = rf"trim(regexp_replace(replace(translate(%s, '‘’“”–—', '''''\"\"--'), '…', '...'), '[\n{WS}]+', ' ', 'g'))".replace('\\"', '"')
 QUOTES = f"{CHUNKS}, qu as (select distinct mention_id, chunk_id, unnest(evidence_quotes) as quote from raw_entity_mentions where mention_id is not null), qc as (select mention_id, quote, {_CANON % 'quote'} as q, {_CANON % 'text'} as t from qu join c using (chunk_id))"
+
+
+def canon(c: str) -> str:
+    """The form quotes are compared in."""
+    return _CANON % c
+
+
+def ambiguous(tags: str) -> str:
+    """Weak keys more than one person goes by."""
+    return f"select source_id, key from (select source_id, key, count(distinct tag) filter (not starts_with(tag, 'other:')) as r, count(distinct tag) filter (starts_with(tag, 'other:')) as o from {tags} where len(string_split(key, ' ')) = 1 or list_contains({_list(PARTICLES)}, string_split(key, ' ')[1]) group by all) where r >= 2 or o >= 2 or (r >= 1 and o >= 1)"
+
+
+def merge_pairs() -> str:
+    """e0 (u, v): mentions to merge, out of tg."""
+    return (
+        f"am as ({ambiguous('tg')}), hd as (select tg.* from tg semi join am using (source_id, key)), hc as (select source_id, key, tag, count(*) as n from hd where tag is not null group by all), ha as (select source_id, key, arg_min(tag, (-n, tag)) as anchor from hc group by all), "
+        "hg as (select source_id, key, coalesce(tag, anchor) as g, mention_id from hd join ha using (source_id, key)), hs as (select a.source_id, a.key, b.key as key2, g, min(a.mention_id) as id from hg a join tg b on a.mention_id = b.mention_id and a.key <> b.key group by all), "
+        "e0 as (select mention_id as u, min(mention_id) over (partition by source_id, key) as v from (select source_id, key, mention_id from tg anti join am using (source_id, key)) union select mention_id, min(mention_id) over (partition by source_id, key, g) from hg union select id, min(id) over (partition by source_id, key, key2) from hs)"
+    )
+
+
+def components(pairs: str, nodes: str) -> str:
+    """cc (node, label): the smallest id each of the nodes is connected with; needs "with recursive"."""
+    return (
+        f"eb as (select u, v from {pairs} where u <> v union select v, u from {pairs} where u <> v union select id, id from {nodes}), cc(node, label) using key (node) as (select u, min(v) from eb group by u union "
+        "select e.v, min(c.label) from cc c join eb e on e.u = c.node join recurring.cc r on r.node = e.v where c.label < r.label group by e.v)"
+    )
+
+
+RESOLVED = f"{TAGS}, {merge_pairs()}, no as (select mention_id as id from m), {components('e0', 'no')}"
+CANONICAL = (
+    f"{RESOLVED}, mc as (select m.*, label as component from m join cc on node = mention_id), nm as (select component, name, count(*) as n, min(char_start) as seen from mc group by all), n1 as (select component, name from nm qualify row_number() over (partition by component order by n desc, seen nulls first, name nulls first) = 1), n2 as (select component, sum(n)::bigint as n_mentions from nm group by 1), "
+    "ty as (select component, type, count(*) as n from mc group by all), t1 as (select * from ty qualify rank() over (partition by component order by n desc) = 1), t2 as (select component, case when count(*) = 1 then min(type) else 'OTHER' end as entity_type from t1 group by 1), "
+    f"ce as (select component, {_id('name', 'entity_type')} as entity_id, name as canonical_name, entity_type, n_mentions from n1 join n2 using (component) join t2 using (component)), "
+    "le as (select source_id, local_id, min(entity_id) as entity_id from mc join ce using (component) group by all)"
+)
 SPANS = "sp as (select distinct entity_id, source_id, p.char_start as s, p.char_end as e from (select entity_id, source_id, unnest(provenance) as p from entity_records))"
+
+_BLANK, _SOLID = rf"[\n{WS}]", rf"[^\n{WS}]"
+# The headings' patterns with the blank that must follow taken in, as this engine's expressions can't look ahead.
+_HEADS = (r"(?im)(^[ \t]*Chapter\s+[IVXLCDM]+\.?(?:\s|$))", r"(?im)(^[ \t]*Chapter\s+\d+\.?(?:\s|$))", r"(?im)(^[ \t]*Chapter\s+the\s+[A-Za-z]+\b)", r"(?m)(^[ \t]*(?:[IVXLCDM]+|\d+)\.\s+[A-Z])")
+CHAPTERS = (
+    "d as (select distinct source_id, translate(cleaned_text, chr(1), chr(2)) as t from raw_documents where length(cleaned_text) > 0), pc as ("
+    + " union all ".join(f"select source_id, {i} as kind, string_split(regexp_replace(t, '{h}', chr(1) || '\\1', 'g'), chr(1)) as p from d" for i, h in enumerate(_HEADS))
+    + "), bk as (select source_id, arg_min(p, kind) as p from pc where len(p) > 3 group by 1), ps as (select source_id, length(unnest(p)) as n, generate_subscripts(p, 1) - 1 as pos, length(p[1]) as pre from bk), cu as (select *, sum(n) over (partition by source_id order by pos)::bigint as e from ps), "
+    "ch as (select source_id, case when pre > 0 then pos else pos - 1 end as chapter_index, e - n as char_start, e as char_end from cu where pos > 0 or n > 0)"
+)
+
+
+def _tokens_of(c: str) -> str:
+    return f"regexp_extract_all({c}, '{_BLANK}*{_SOLID}{{1,4}}|{_BLANK}+')"
+
+
+WINDOWS = (
+    f"{CHAPTERS}, sp as (select source_id, chapter_index as ci, char_start as lo, substr(t, char_start + 1, char_end - char_start) as x, 6000 as most from ch join d using (source_id) union all select source_id, null, 0, t, 4000 from d where source_id not in (select source_id from ch)), "
+    f"tt as (select *, {_tokens_of('x')} as toks from sp), tk as (select source_id, lo, length(unnest(toks)) as n, generate_subscripts(toks, 1) as k from tt), ta as (select source_id, lo, k, sum(n) over (partition by source_id, lo order by k)::bigint as e from tk), "
+    "wi as (select source_id, ci, lo, x, most, len(toks) as total, unnest(range(0, 1 + greatest(0, ceil((len(toks) - most) / (most - 600.0))::bigint))) as w from tt), "
+    "wb as (select *, least(most + w * (most - 600), total) as stop, case when w = 0 then 0 else greatest(least(most + (w - 1) * (most - 600), total) - 600, 0) end as first, w = max(w) over (partition by source_id, lo) as final from wi), "
+    "wc as (select wb.*, coalesce(a.e, 0) as s, case when final then length(x) else b.e end as e from wb left join ta a on a.source_id = wb.source_id and a.lo = wb.lo and a.k = first left join ta b on b.source_id = wb.source_id and b.lo = wb.lo and b.k = stop), "
+    r"cd as (select source_id, lo, w, s, e, x, most, greatest(0, e - 800) as ws, string_split(regexp_replace(substr(x, greatest(0, e - 800)::bigint + 1, (least(length(x), e + 800) - greatest(0, e - 800))::bigint), '(\n[ \t]*\n)', '\1' || chr(1), 'g'), chr(1)) as p from wc where not final), "
+    "cp as (select source_id, lo, w, s, e, x, most, ws, length(unnest(p)) as n, generate_subscripts(p, 1) as i, len(p) as np from cd), cq as (select *, ws + sum(n) over (partition by source_id, lo, w order by i) as ends from cp), "
+    "cr as (select source_id, lo, w, arg_min(ends, (abs(ends - e), i))::bigint as near, any_value(s) as s, any_value(x) as x, any_value(most) as most from cq where i < np group by all), "
+    f"cs as (select source_id, lo, w, near from cr where near > s and len({_tokens_of('substr(x, s::bigint + 1, (near - s)::bigint)')}) <= most), "
+    "wf as (select source_id, ci, lo, w, s, coalesce(near, e) as e, count(*) over (partition by source_id, lo) as n from wc left join cs using (source_id, lo, w))"
+)
+
+
+def _raw_place(at: str) -> str:
+    """The text's position of a character of its compared form, by the word it is in."""
+    k = f"(length({at}) - length(replace({at}, ' ', '')))"
+    word = f"regexp_extract_all(text, '{_SOLID}+')"
+    gaps = f"regexp_extract_all(text, '{_BLANK}+')"
+    lead = rf"(case when regexp_matches(text, '^{_BLANK}') then 1 else 0 end)"
+    start = f"(coalesce(list_sum(list_transform(list_slice({word}, 1, {k}), lambda z: length(z))), 0) + coalesce(list_sum(list_transform(list_slice({gaps}, 1, {k} + {lead}), lambda z: length(z))), 0))"
+    off = f"(length({at}) - length(regexp_replace({at}, '[^ ]*$', '')))"
+    inner = f"len(list_filter(range(1, length({word}[{k} + 1]) + 1), lambda i: length(replace(substr({word}[{k} + 1], 1, i), '…', '...')) <= {off}))"
+    return f"({start} + {inner})::bigint"
+
+
 BM25 = (
     f"{CHUNKS}, po as (select chunk_id, term, count(*) as tf, any_value(dl) as dl from (select chunk_id, unnest({_toks('text')}) as term, len({_toks('text')}) as dl from c) group by 1, 2), nn as (select count(*) as n, avg(len({_toks('text')})) as avgdl from c), "
     "ri as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from po, nn group by term), st as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from ri) else raw end as idf from ri)"
@@ -168,16 +246,23 @@ SQL = {
     "ledger_fingerprint": f"with {STATUS}, {STAMPED}, v as ({_verdict(True)}), p as (select parent_claim_id, 0 as part, claim_id as item from cl where parent_claim_id is not null union all select parent_claim_id, 1, evidence_id from st join cl on claim_id = atomic_claim_id where parent_claim_id is not null union all select parent_claim_id, 2, verdict from v), j as (select parent_claim_id, part, string_agg(item, ',' order by item) as t from p group by all) select parent_claim_id, substr(sha256(string_agg(t, '|' order by part)), 1, 16) as fingerprint from j group by 1",
     "checkpoint_resume": "select distinct claim_id from atomic_claims where claim_id not in (select atomic_claim_id from fused_evidence where atomic_claim_id is not null)",
     "cooccurrence_edges": f"with {GRAPH} select * from ed",
-    "graph_topology": f"with {GRAPH}, n as (select (select count(*) from ei) as n, (select count(*) from ed) as m) select n as n_entities, m as n_relations, round(2.0 * m / (n * (n - 1))::double, 9) as density, round(2.0 * m / n::double, 6) as average_degree from n",
+    "graph_topology": f"with recursive {GRAPH}, e0 as (select subject_entity_id as u, object_entity_id as v from ed), no as (select entity_id as id from ei), {components('e0', 'no')}, n as (select (select count(*) from ei) as n, (select count(*) from ed) as m, (select count(distinct label) from cc) as k) select n as n_entities, m as n_relations, k as n_components, round(2.0 * m / (n * (n - 1))::double, 9) as density, round(2.0 * m / n::double, 6) as average_degree from n",
     "graph_bfs_1hop": _walk(1),
     "graph_bfs_2hop": _walk(2),
     "mentions": f"with b as (select distinct item_id, text from benchmark), x as (select item_id, unnest({_mentions('text')}) as mention, generate_subscripts({_mentions('text')}, 1) as p from b), f as (select item_id, mention, min(p) as p from x group by all) select item_id, row_number() over (partition by item_id order by p) - 1 as pos, mention from f",
-    "relation_collapse": "with r as (select 'P' || l_partkey as a, 'S' || l_suppkey as b, l_returnflag as t, count(*) as w from lineitem group by all) select least(a, b) as low, greatest(a, b) as high, min(t) as relation_type, sum(w)::bigint as weight from r group by 1, 2",
+    "relation_collapse": "with r0 as (select 'P' || l_partkey as a, 'S' || l_suppkey as b, l_returnflag as t, count(*) as w from lineitem group by all), r as (select case when t = 'R' then b else a end as s, case when t = 'R' then a else b end as o, t, w from r0) select arg_min(s, (t, s, o)) as subject, arg_min(o, (t, s, o)) as object, min(t) as relation_type, sum(w)::bigint as weight from r group by least(s, o), greatest(s, o)",
     "normalize_names": f"select name, k as normalised, len(list_filter(string_split(k, ' '), lambda w: w <> '' and not list_contains({_GENERIC}, w))) = 0 as generic, len(string_split(k, ' ')) = 1 or list_contains({_list(PARTICLES)}, string_split(k, ' ')[1]) as weak from (select name, {_norm('name')} as k from (select distinct name from raw_entity_mentions where name is not null))",
     "merge_keys": f"with {KEYS} select distinct mention_id, key from ks",
     "qualifier_tags": f"with {TAGS} select * from tg",
-    "ambiguous_keys": f"with {TAGS} select source_id, key from (select source_id, key, count(distinct tag) filter (not starts_with(tag, 'other:')) as r, count(distinct tag) filter (starts_with(tag, 'other:')) as o from tg where len(string_split(key, ' ')) = 1 or list_contains({_list(PARTICLES)}, string_split(key, ' ')[1]) group by all) where r >= 2 or o >= 2 or (r >= 1 and o >= 1)",
+    "ambiguous_keys": f"with {TAGS} {ambiguous('tg')}",
+    "er_components": f"with recursive {RESOLVED} select node as mention_id, label as component from cc",
+    "canonical_entities": f"with recursive {CANONICAL} select * from ce",
+    "local_entities": f"with recursive {CANONICAL} select * from le",
+    "relations_resolved": f"with recursive {CANONICAL}, nx as (select *, lead(local_id) over (partition by source_id order by char_start nulls first, mention_id) as o from m) select a.entity_id as subject_entity_id, b.entity_id as object_entity_id, type as relation_type, count(distinct chunk_id) as weight from nx join le a on a.source_id = nx.source_id and a.local_id = nx.local_id join le b on b.source_id = nx.source_id and b.local_id = nx.o where a.entity_id <> b.entity_id group by all",
     "quote_exact": f"with {QUOTES} select mention_id, sha256(quote) as quote_digest, case when length(q) > 0 then instr(t, q) - 1 end as canon_start, case when length(q) > 0 then (length(t) - length(replace(t, q, ''))) // length(q) end as occurrences from qc",
+    "chapter_spans": f"with {CHAPTERS} select source_id, chapter_index, char_start, char_end from ch",
+    "extraction_windows": f"with {WINDOWS} select source_id, (case when ci is null then w else ci end)::integer as chapter_index, (case when ci is not null and n > 1 then w end)::integer as window_index, (lo + s)::bigint as char_start, (lo + e)::bigint as char_end from wf",
+    "quote_places": f"with {QUOTES.replace('select mention_id, quote, ', 'select mention_id, chunk_id, text, quote, ')}, qp as (select *, length(q) > 0 and instr(t, q) > 0 as hit from qc) select mention_id, chunk_id, case when hit then 'EXACT' else 'FAILED' end as tier, case when hit then {_raw_place('substr(t, 1, instr(t, q) - 1)')} end as char_start, case when hit then {_raw_place('substr(t, 1, instr(t, q) + length(q) - 2)')} + 1 end as char_end, hit and (length(t) - length(replace(t, q, ''))) // greatest(length(q), 1) > 1 as ambiguous from qp",
     "quote_trust_boundary": f"with {QUOTES} select verified, count(*) as n_mentions from (select mention_id, bool_and(length(q) > 0 and instr(t, q) > 0) as verified from qc group by 1) group by 1",
     "graph_fingerprint": "select source_id, sha256(string_agg('E:' || entity_id || ':' || canonical_name || ':' || entity_type, chr(10) order by entity_id, canonical_name, entity_type)) as fingerprint from (select distinct source_id, entity_id, canonical_name, entity_type from entity_records) group by 1",
     "nli_premises": "select mention_id, sha256(coalesce(nullif(array_to_string(q, ' '), ''), '(no supporting quote)')) as premise_digest from (select mention_id, min(evidence_quotes) as q from raw_entity_mentions where mention_id is not null group by 1)",
@@ -194,3 +279,29 @@ SQL["retrieve_stamped"] = (
     "rk as (select query_id::varchar as q, chunk_id, row_number() over (partition by query_id order by coalesce(s, 0) desc, chunk_id) as rank from (select distinct item_id as query_id from benchmark) cross join c left join sc using (query_id, chunk_id) qualify rank <= 10) "
     f"select {_id('q', chr(39) + 'LEXICAL' + chr(39), 'chunk_id', 'rank::varchar')} as evidence_id, q as atomic_claim_id, chunk_id, rank from rk"
 )
+
+_VERIFY = (
+    "d as (select distinct source_id, cleaned_text as t from raw_documents where length(cleaned_text) > 0), s0 as (select source_id, t, unnest(range(0, greatest(1, ceil((length(t) - 120) / 580.0)::bigint) * 580, 580)) as a from d), "
+    f"c as (select {_id('source_id', 'a::varchar', 'least(a + 700, length(t))::varchar', 'substr(t, (a + 1)::bigint, 700)')} as chunk_id, source_id, a as char_start, substr(t, (a + 1)::bigint, 700) as text from s0), "
+    f"cm as (select distinct claim_id, text from atomic_claims where text is not null), qq as (select claim_id as a, '' as qid, 'CLAIM' as origin, text from cm union all select claim_id, {_id('claim_id', chr(39) + '0' + chr(39), 't')}, 'QUESTION', t from (select claim_id, 'Is it stated that ' || regexp_replace(text, '[.!?]+$', '') || '?' as t from cm)), "
+    f"q as (select distinct {_id('a', 'origin', 'qid', 'text')} as query_id, a as atomic_claim_id, text from qq)"
+)
+_SEARCHED = (
+    BM25.replace(CHUNKS + ", ", "")
+    + f", qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({_toks('text')}) as term from q) group by all), bs as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as s from po join qt using (term) join st using (term), nn group by all), "
+    "lx as (select query_id, chunk_id, row_number() over (partition by query_id order by coalesce(s, 0) desc, chunk_id) as rank from (select query_id from q) cross join c left join bs using (query_id, chunk_id) qualify rank <= 10), "
+    f"dw as (select chunk_id as id, ('0x' || substr(sha256(w), 63, 2))::bigint % 64 as dim, count(*) as n from (select chunk_id, unnest({_toks('text')}) as w from c) group by all union all select query_id, ('0x' || substr(sha256(w), 63, 2))::bigint % 64, count(*) from (select query_id, unnest({_toks('text')}) as w from q) group by all), "
+    "dl as (select id, sqrt(sum(n * n)) as l from dw group by 1), dv as (select id, dim, round(n / l, 9) as w from dw join dl using (id)), dn as (select id, sqrt(sum(w * w)) as l from dv group by 1), "
+    "dp as (select a.id as query_id, b.id as chunk_id, sum(a.w * b.w) as dot from dv a join dv b using (dim) where a.id in (select query_id from q) and b.id in (select chunk_id from c) group by all), "
+    "pr as (select query_id, chunk_id, row_number() over (partition by query_id order by round(coalesce(dot, 0) / (x.l * y.l), 6) desc, chunk_id) as rank from (select query_id from q) cross join (select chunk_id from c) left join dp using (query_id, chunk_id) join dn x on x.id = query_id join dn y on y.id = chunk_id qualify rank <= 10), "
+    + GRAPH.replace(CHUNKS + ", ", "")
+    + ", "
+    + BOTH.replace(", q as (select distinct item_id as query_id, text from benchmark)", "")
+    + f", {_HOP1}, gs as (select query_id, chunk_id, round(sum(gain), 6) as s from (select query_id, entity_id, 1.0 as gain from h0 union all select query_id, entity_id, gain from n1) join pl using (entity_id) group by all), gx as (select query_id, chunk_id, row_number() over (partition by query_id order by s desc, chunk_id) as rank from gs qualify rank <= 10)"
+)
+SQL["verify_claims"] = (
+    f"with {_VERIFY}, {_SEARCHED}, hi as (select * from lx union all select * from pr union all select * from gx), f0 as (select atomic_claim_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as s from hi join q using (query_id) group by all), fu as (select * from f0 qualify row_number() over (partition by atomic_claim_id order by s desc, chunk_id) <= 10), "
+    f"sh as (select atomic_claim_id, round(coalesce(len(list_intersect(list_distinct({_toks('cm.text')}), {_toks('c.text')}))::double / nullif(len(list_distinct({_toks('cm.text')})), 0), 0), 6) as share from fu join c using (chunk_id) join cm on claim_id = atomic_claim_id), "
+    "cl as (select claim_id, bool_or(share < 0.1 and round(1 - share, 6) >= 0.95) as c, bool_or(share >= 0.5) as e, count(share) as n from cm left join sh on atomic_claim_id = claim_id group by 1) "
+    "select claim_id, case when coalesce(c, false) then 'CONTRADICTORY' when coalesce(e, false) then 'CONSISTENT' else 'INSUFFICIENT_EVIDENCE' end as verdict, case when coalesce(c, false) then 'rule_1_contradiction' when coalesce(e, false) then 'rule_3_all_supported' else 'rule_2_unresolved' end as fired_rule, n as n_evidence from cl"
+)

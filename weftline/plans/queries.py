@@ -20,7 +20,7 @@ def narratives(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each id once."""
-    return table(spark, d, "document_chunks").groupBy("chunk_id").agg(F.min("text").alias("text"), F.min("source_id").alias("source_id"), F.min("char_start").alias("char_start"), F.min("char_end").alias("char_end"))
+    return table(spark, d, "document_chunks").groupBy("chunk_id").agg(F.min(F.struct("text", "source_id", "char_start", "char_end")).alias("_r")).select("chunk_id", "_r.*")
 
 
 def claims_of(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +94,8 @@ def parse_json_array(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_of(spark, d)
-    return lexical.term_statistics(lexical.postings(c), c).select("term", "df", F.round("idf", 6).alias("idf"))
+    stats, _, _ = lexical.term_statistics(lexical.tokenised(chunks_of(spark, d)))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +344,8 @@ def relation_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "raw_entity_mentions").where("mention_id is not null and source_id is not null")
-    return m.groupBy("mention_id").agg(*[F.min(c).alias(c) for c in ("source_id", "local_id", "name", "type", "char_start", "chunk_id")], F.min(F.to_json(F.coalesce("aliases", F.array().cast("array<string>")))).alias("_a")).withColumn("aliases", F.from_json("_a", "array<string>")).drop("_a")
+    one = F.struct("source_id", "local_id", "name", "type", "char_start", "chunk_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    return m.groupBy("mention_id").agg(F.min(one).alias("_r")).select("mention_id", "_r.*")
 
 
 def normalize_names(spark: SparkSession, d: str) -> DataFrame:
@@ -371,7 +372,7 @@ def er_components(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical_entities(spark: SparkSession, d: str) -> DataFrame:
     m = cut(_mentions(spark, d))
-    return resolution.canonical_entities(m, resolution.resolve(m))
+    return resolution.canonical_entities(m, cut(resolution.resolve(m)))
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -406,9 +407,8 @@ def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     m = cut(_mentions(spark, d))
-    ents = resolution.canonical_entities(m, cut(resolution.resolve(m)))
-    comp = resolution.resolve(m)
-    of = m.join(comp, "mention_id").join(ents.select("component", "entity_id"), "component").groupBy("source_id", "local_id").agg(F.min("entity_id").alias("entity_id"))
+    comp = cut(resolution.resolve(m))
+    of = resolution.local_entities(m, comp, resolution.canonical_entities(m, comp))
     after = Window.partitionBy("source_id").orderBy("char_start", "mention_id")
     facts = m.withColumn("object_local_id", F.lead("local_id").over(after)).select("source_id", F.col("local_id").alias("subject_local_id"), "object_local_id", F.col("type").alias("relation_type"), "chunk_id")
     return facts, of

@@ -19,13 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is the one the session names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a folder of our own is made and registered.
+    is unset and all executors are threads of this machine, as in tests, a folder of our own is made and registered.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         own = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
@@ -36,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared folder and read it back.
 
     The result depends on files only, so no later stage has to recompute what led
-    to it when an executor is lost. The files go when the session's JVM ends.
+    to it when an executor is lost. The files go with ``drop_cut``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_text
@@ -20,8 +20,11 @@ def read_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold examples, one JSON object a line, blank lines skipped; a bad line fails the read."""
-    return spark.read.schema(GOLD).option("mode", "FAILFAST").json(path)
+    """Gold examples, one JSON object a line, blank lines skipped; a bad line fails the read, and so does a file without examples."""
+    gold = spark.read.schema(GOLD).option("mode", "FAILFAST").json(path)
+    if not gold.take(1):
+        raise ValueError(f"no examples in {path}")
+    return gold
 
 
 def read_claims(spark: SparkSession, path: str, has_label: bool = True) -> DataFrame:
@@ -30,15 +33,12 @@ def read_claims(spark: SparkSession, path: str, has_label: bool = True) -> DataF
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
-def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key", written: str = "written_at") -> DataFrame:
-    """A key-value cache, one JSON object a line; of a key written again the last entry counts."""
-    last = Window.partitionBy(key).orderBy(F.desc(written))
-    return spark.read.schema(schema).json(path).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-
-
-def append_cache(entries: DataFrame, path: str) -> None:
-    """New cache entries, one write for the whole batch; failed calls aren't passed in, so never cached."""
-    entries.write.mode("append").json(path)
+def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
+    """A key-value cache, one JSON object a line; of a key written again the last entry counts: in the file written last, by time and then name, and there on the last line."""
+    lines = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_line"))
+    place = ["file_modification_time", "file_path", "file_block_start", "_line"]
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("_v"), F.struct(*place).alias("_at"))
+    return rows.groupBy(F.col(f"_v.{key}").alias("_k")).agg(F.max_by("_v", "_at").alias("_v")).where("_k is not null").select("_v.*")
 
 
 def remaining(rows: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
