@@ -139,8 +139,13 @@ def test_component_labels(spark):
     for a, b in e:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    got = dict(rows(graph.component_labels(spark.createDataFrame(e, "a long, b long"), "a", "b")))
-    assert got == {k: find(k) for k in parent}
+    want = {k: find(k) for k in parent}
+    edges = spark.createDataFrame([*e, (None, 1)], "a long, b long")
+    for bound in (10, graph.TASK_EDGES):
+        assert dict(rows(graph.component_labels(edges, "a", "b", bound))) == want
+        assert graph.component_labels(edges.limit(0), "a", "b", bound).count() == 0
+    text = edges.selectExpr("lpad(cast(a as string), 4, '0') as a", "lpad(cast(b as string), 4, '0') as b")
+    assert {int(k): int(v) for k, v in rows(graph.component_labels(text, "a", "b"))} == want
 
 
 def test_resolution_of_families(spark):

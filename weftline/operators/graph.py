@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +103,46 @@ def topology(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("n_entities", "n_relations", "n_components", F.round(F.coalesce(F.try_divide(2.0 * m, (n_ * (n_ - 1)).cast("double")), F.lit(0.0)), 9).alias("density"), F.round(F.coalesce(F.try_divide(2.0 * m, n_.cast("double")), F.lit(0.0)), 6).alias("average_degree"))
 
 
-def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, label): smallest node each node is connected with, by alternating large and small stars.
+#: Edges that one task joins in memory, about 300 bytes each.
+TASK_EDGES = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) edges of one task to (node, label), each node with the smallest it is connected with."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not held:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
+    sizes = [len(x) for pair in held for x in pair]
+    parts = np.split(at, np.cumsum(sizes)[:-1])
+    left, right = np.concatenate(parts[::2]), np.concatenate(parts[1::2])
+    label = np.arange(len(nodes))
+    while len(left):  # every node takes the smallest label beside it, then its label's label
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, label[left], low)
+        np.minimum.at(new, label[right], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+    while not np.array_equal(label, up := label[label]):
+        label = up
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
+def component_labels(edges: DataFrame, left: str, right: str, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, label): smallest node each node is connected with.
 
-    Each round links the neighbours of a node to the smallest of them; edges stay at most as many
-    as they were, distances halve, and a round that changes no edge ends it.
+    Up to ``task_edges`` different edges are joined in one task. More go through alternating large and small stars: each round links the neighbours of a node to the smallest of them; edges stay at most as many
+    as they were, distances halve, and a round that changes no edge ends it. Both give the same labels.
     """
     given = cut(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u is not null and v is not null").distinct())
+    if given.count() <= task_edges:
+        kind = given.schema["u"].dataType.simpleString()
+        return given.coalesce(1).mapInArrow(_joined, f"node {kind}, label {kind}")
     nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e, state = given.where("u <> v"), None
     while True:

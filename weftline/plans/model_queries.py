@@ -157,6 +157,26 @@ def novel_rejects(spark: SparkSession, d: str) -> DataFrame:
     return provenance.resolve_facts(cut(quotes), w, Q.chunks_of(spark, d))[1].groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
+def _novel(spark: SparkSession, d: str):
+    from weftline.plans.novel import build_graph
+
+    w, cache = _windows(spark, d)
+    return build_graph(w, Q.chunks_of(spark, d), _answers(cache))
+
+
+def novel_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of the narratives, out of the windows' answers."""
+    return _novel(spark, d).entities.select("entity_id", "canonical_name", "entity_type", "n_mentions")
+
+
+def novel_relations(spark: SparkSession, d: str) -> DataFrame:
+    return _novel(spark, d).relations
+
+
+def novel_events(spark: SparkSession, d: str) -> DataFrame:
+    return _novel(spark, d).events.select("event_id", "predicate", "n_facts")
+
+
 def quote_anchors(spark: SparkSession, d: str) -> DataFrame:
     """(mention_id, chunk_id): where mentions' quotes are verified; mentions whose id ends with 3 have one more quote, which stands nowhere."""
     m = table(spark, d, "raw_entity_mentions").where("mention_id is not null").groupBy("mention_id").agg(F.min(F.struct("chunk_id", "evidence_quotes")).alias("m")).select("mention_id", "m.*")
@@ -213,6 +233,6 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    decompose_replay, decompose_errors, cache_replay, question_replay, fact_checks, fact_check_errors, fact_pairs, window_entities, window_facts, window_errors, novel_provenance, novel_rejects, quote_anchors,
+    decompose_replay, decompose_errors, cache_replay, question_replay, fact_checks, fact_check_errors, fact_pairs, window_entities, window_facts, window_errors, novel_provenance, novel_rejects, novel_entities, novel_relations, novel_events, quote_anchors,
     embedding_cache_fill, pair_cache_fill, vector_upsert, prompts,
 )}

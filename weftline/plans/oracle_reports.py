@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators.reasoning import DECOMPOSITION, EXTRACTION, FACT_CHECK, QUESTIONS
-from weftline.plans.oracle import CHUNKS, CITED, CLAIMS, GOLD, GRAPH, KEYS, LABELS, MENTIONS, PAIRS, RRF, SPANS, SQL as CORE, STAMPED, STATUS, TAGS, _id, _list, _raw_place, _toks, _verdict, ambiguous, canon, components, merge_pairs
+from weftline.plans.oracle import CANONICAL, CHUNKS, CITED, CLAIMS, GOLD, GRAPH, KEYS, LABELS, MENTIONS, PAIRS, RRF, SPANS, SQL as CORE, STAMPED, STATUS, TAGS, _id, _list, _raw_place, _toks, _verdict, ambiguous, canon, components, merge_pairs
 from weftline.functions.text import PARTICLES
 
 def _s(text: str) -> str:
@@ -38,6 +38,17 @@ _WQUOTES = (
     "select 'relation', chunk_id || ':' || local_id, chunk_id, unnest(case when substr(chunk_id, 1, 1) = '2' then ['words that stand nowhere'] else evidence_quotes end) from (select * from fit where chunk_id in (select chunk_id from gw) qualify row_number() over (partition by chunk_id order by local_id nulls first, name nulls first, type nulls first, evidence_quotes nulls first) = 1)), "
     f"pq as (select fa.*, text, source_id, char_start as w, {canon('quote')} as q, {canon('text')} as t from fa join c using (chunk_id)), pl as (select *, q <> '' and instr(t, q) > 0 as hit from pq)"
 )
+_PLACES = (
+    f"sx as (select kind, fact_id, source_id, w + {_raw_place('substr(t, 1, instr(t, q) - 1)')} as s, w + {_raw_place('substr(t, 1, instr(t, q) + length(q) - 2)')} + 1 as e from pl where hit), "
+    "px as (select distinct kind, fact_id, c.chunk_id, greatest(s, c.char_start) as char_start from sx join c on c.source_id = sx.source_id and c.char_start < e and s < c.char_end where c.char_end > c.char_start), "
+    "ep as (select fact_id, chunk_id, char_start from px where kind = 'entity' qualify row_number() over (partition by fact_id order by char_start, chunk_id) = 1)"
+)
+_NOVEL = CANONICAL.replace(MENTIONS, f"{_WQUOTES}, {_PLACES}, m as (select ('0x' || substr(sha256(f.chunk_id || ':' || f.local_id), 1, 15))::bigint as mention_id, c.source_id, f.chunk_id || '/' || f.local_id as local_id, name, type, ep.char_start, [] as aliases, f.chunk_id as window_id, f.local_id as own from (select distinct chunk_id, local_id, name, type from fit where chunk_id in (select chunk_id from gw)) f join ep on ep.fact_id = f.chunk_id || ':' || f.local_id join c on c.chunk_id = f.chunk_id)")
+_NOVEL_TIES = (
+    "ne as (select distinct window_id as chunk_id, own as local_id, entity_id from mc join ce using (component)), go as (select chunk_id, local_id, name, type, evidence_quotes from fit where chunk_id in (select chunk_id from gw)), "
+    "tr as (select chunk_id as window_id, arg_min(local_id, r) as s, arg_max(local_id, r) as o from (select *, row_number() over (partition by chunk_id order by local_id nulls first, name nulls first, type nulls first, evidence_quotes nulls first) as r from go) group by 1), "
+    "rp as (select fact_id, chunk_id from px where kind = 'relation' qualify row_number() over (partition by fact_id order by char_start, chunk_id) = 1)"
+)
 _FACTS = (
     f"{MENTIONS}, f0 as (select * from m where local_id is not null and char_start is not null and chunk_id is not null), "
     "f1 as (select *, lead(local_id) over (partition by source_id order by char_start, mention_id) as nx, 'near ' || type as predicate from f0), "
@@ -155,6 +166,9 @@ SQL = {
     "window_errors": f"with {_WINDOWS}, r as (select case when substr(chunk_id, 1, 1) in ('0', '1') then 'ModelError: a call in a replay' when not fit then 'unfit entity' end as reason from wi) select reason, count(*) as n from r where reason is not null group by 1",
     "novel_provenance": f"with {_WQUOTES}, sp as (select kind, fact_id, source_id, w + {_raw_place('substr(t, 1, instr(t, q) - 1)')} as s, w + {_raw_place('substr(t, 1, instr(t, q) + length(q) - 2)')} + 1 as e from pl where hit) select distinct kind, fact_id, c.chunk_id from sp join c on c.source_id = sp.source_id and c.char_start < e and s < c.char_end where c.char_end > c.char_start",
     "novel_rejects": f"with {_WQUOTES} select kind, 'no quote resolves' as reason, count(*) as n from (select kind, fact_id from pl group by all having not bool_or(hit)) group by 1",
+    "novel_entities": f"with recursive {_NOVEL} select entity_id, canonical_name, entity_type, n_mentions from ce",
+    "novel_relations": f"with recursive {_NOVEL}, {_NOVEL_TIES} select a.entity_id as subject_entity_id, b.entity_id as object_entity_id, 'ALLY_OF' as relation_type, count(distinct rp.chunk_id) as weight from tr join ne a on a.chunk_id = tr.window_id and a.local_id = tr.s join ne b on b.chunk_id = tr.window_id and b.local_id = tr.o join rp on rp.fact_id = tr.window_id || ':' || tr.s where a.entity_id <> b.entity_id group by all",
+    "novel_events": f"with recursive {_NOVEL}, {_NOVEL_TIES}, v as (select {_id(chr(39) + 'appears' + chr(39), 'ne.entity_id', 'ep.chunk_id', 'ep.char_start::varchar')} as event_id from tr join ne on ne.chunk_id = tr.window_id and ne.local_id = tr.s join ep on ep.fact_id = tr.window_id || ':' || tr.s) select event_id, 'appears' as predicate, count(*) as n_facts from v group by 1",
     "quote_anchors": f"with {CHUNKS}, mm as (select mention_id, chunk_id, evidence_quotes from raw_entity_mentions where mention_id is not null qualify row_number() over (partition by mention_id order by chunk_id nulls first, evidence_quotes nulls first) = 1), qq as (select mention_id, chunk_id, unnest(evidence_quotes) as quote, generate_subscripts(evidence_quotes, 1) as i from mm), ok as (select mention_id, i, {canon('quote')} <> '' and contains({canon('text')}, {canon('quote')}) as hit from qq join c using (chunk_id) where quote is not null), st as (select mention_id, bool_and(hit) as hit from ok group by 1) select mention_id, chunk_id from mm join c using (chunk_id) left join st using (mention_id) where coalesce(hit, true) and mention_id % 10 <> 3",
     "embedding_cache_fill": CORE["hashed_embedding_chunks"],
     "pair_cache_fill": f"with {LABELS} select * from lb",
