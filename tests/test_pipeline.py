@@ -100,3 +100,47 @@ def test_audits(spark):
     assert audits.kept_apart(strong, names).count() == 0 and audits.kept_apart(audits.key_components(keys), names).count() == 1
     assert audits.kept_together(strong, spark.createDataFrame([("g", 1), ("g", 3)], "group string, mention_id long")).first().n_components == 2
     assert audits.corroborated_components(keys).count() == 4
+
+
+def test_evaluation_and_ablation(spark, tmp_path):
+    from weftline.config import Evaluation
+    from weftline.plans import evaluation
+
+    narratives = spark.createDataFrame([("john", STORY)], "source_id string, cleaned_text string")
+    examples = spark.createDataFrame([("a", "John moved to London in 2012.", "CONSISTENT"), ("b", "Quite other words altogether!", "CONTRADICTORY"), ("c", " ", "CONSISTENT")], "example_id string, claim string, gold string")
+    spans = spark.createDataFrame([("a", "john", 48, 77), ("a", "other", 0, 5)], "example_id string, source_id string, span_start int, span_end int")
+    res = Resources(Chunking(48, 0), Retrieval(top_k=2))
+    cfg = Evaluation((1, 2), keep=True, folder=str(tmp_path))
+    reports, deltas = evaluation.ablation(examples, narratives, spans, (Variant(), Variant("no_graph", backends=("SEMANTIC", "LEXICAL"))), res, cfg=cfg)
+    rows = {r.example_id: r for r in reports[0].examples.collect()}
+    assert rows["a"].predicted == "CONSISTENT" and rows["a"].correct and rows["c"].predicted is None and rows["a"].mrr > 0 and rows["b"].mrr is None
+    assert {r.variant for r in deltas.collect()} == {"full", "no_graph"} and deltas.where("variant = 'full'").first().delta == 0
+    assert reports[0].run != reports[1].run and "| CONSISTENT |" in evaluation.markdown(reports[0])
+    assert spark.read.json(f"{tmp_path}/reports").count() == 6
+    with pytest.raises(ValueError):
+        evaluation.ablation(examples, narratives, spans, (Variant("no_graph"),), res)
+
+
+def test_jobs(spark, capsys):
+    import os
+
+    from weftline.__main__ import main
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    main(["histogram", "/root/testdata/sf0.001"])
+    assert "bucket" in capsys.readouterr().out
+
+
+def test_indexes(spark):
+    from weftline.operators.indexes import DenseIndex, GraphIndex, LexicalIndex
+
+    chunks = spark.createDataFrame([("k1", "Tom Fen left the arm", "s", 0), ("k2", "Ann Lee met Tom Fen", "s", 30), ("k3", "", "s", 60)], "chunk_id string, text string, source_id string, char_start int")
+    q = spark.createDataFrame([(1, "Where is Ann Lee?"), (2, "zzz")], "query_id int, text string").selectExpr("cast(query_id as string) as query_id", "text")
+    for index, want in ((LexicalIndex(), {("1", "k2"), ("2", "k1")}), (DenseIndex(), {("1", "k2")}), (GraphIndex(), {("1", "k2")})):
+        with pytest.raises(ValueError):
+            index.query(q, 1)
+        index.index(chunks)
+        assert want <= {(r.query_id, r.chunk_id) for r in index.query(q, 1).collect()}, index
+        with pytest.raises(ValueError):
+            index.query(q, 0)

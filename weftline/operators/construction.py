@@ -87,12 +87,12 @@ def graph_fingerprint(lines: DataFrame, key: list[str], order: list[str], line:
     return lines.groupBy(*key).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r[line]), "\n"), 256).alias("fingerprint"))
 
 
-def bucketed_fingerprint(lines: DataFrame, order: str, line: str = "line", buckets: int = 256) -> DataFrame:
+def bucketed_fingerprint(lines: DataFrame, order: str, line: str = "line", digits: int = 2) -> DataFrame:
     """(fingerprint) of lines of any number, as one row: lines go to buckets by their hash, each bucket's sorted lines are hashed, then the buckets' hashes in order.
 
-    A bucket is a ``buckets``-th of the lines and the last step has one row per bucket; raise ``buckets`` with the lines.
+    There are 16 to the ``digits`` buckets, and the last step has one row each; raise it with the lines.
     """
-    part = F.pmod(F.xxhash64(order, line), F.lit(buckets)).alias("_b")
+    part = F.substring(F.sha2(F.concat_ws("\x00", order, line), 256), 1, digits).alias("_b")
     rows = F.array_sort(F.collect_list(F.struct(order, line)))
     each = lines.groupBy(part).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r[line]), "\n"), 256).alias("_h"))
     whole = F.array_sort(F.collect_list(F.struct("_b", "_h")))

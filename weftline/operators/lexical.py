@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -107,18 +106,3 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieva
     best = best.groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.top_k)
-
-
-class LexicalIndex:
-    """An index that is built once and searched by frames of queries: index(chunks), then query(queries, top_k)."""
-
-    def __init__(self, cfg: Retrieval = Retrieval()) -> None:
-        self.cfg, self._chunks = cfg, None
-
-    def index(self, chunks: DataFrame) -> None:
-        self._chunks = chunks.select("chunk_id", "text")
-
-    def query(self, queries: DataFrame, top_k: int) -> DataFrame:
-        if self._chunks is None:
-            raise ValueError("nothing is indexed")
-        return bm25_search(queries, self._chunks, replace(self.cfg, top_k=top_k))

@@ -148,6 +148,7 @@ SQL = {
     "graph_records_fingerprint": f"with {_FACTS}, rl as (select a.entity_id as s, b.entity_id as o, predicate as t, count(distinct chunk_id) as w from f1 join en a on a.source_id = f1.source_id and a.local_id = f1.local_id join en b on b.source_id = f1.source_id and b.local_id = nx where a.entity_id <> b.entity_id group by all), "
     "es as (select ee.*, source_id from ee join f1 on mention_id = fact_id), li as (select source_id, 1 as sec, entity_id as o, 'E:' || entity_id || ':' || local_id || ':OTHER' as l from en union all select source_id, 2, s || chr(0) || o || chr(0) || t, 'R:' || s || ':' || o || ':' || t || ':' || w from rl join en on s = entity_id "
     "union all select source_id, 3, event_id, 'V:' || event_id || ':' || predicate || ':NONE:' from es union all select source_id, 4, pa.entity_id || chr(0) || pa.event_id || chr(0) || role, 'P:' || pa.entity_id || ':' || pa.event_id || ':' || role || ':' || weight from pa join es using (event_id)) select source_id, sha256(string_agg(l, chr(10) order by sec, o, l)) as fingerprint from li group by 1",
+    "records_fingerprint": "with li as (select entity_id as o, 'E:' || entity_id || ':' || canonical_name || ':' || entity_type as l from (select distinct source_id, entity_id, canonical_name, entity_type from entity_records)), b as (select substr(sha256(o || chr(0) || l), 1, 2) as p, sha256(string_agg(l, chr(10) order by o, l)) as h from li group by 1) select sha256(string_agg(h, chr(10) order by p)) as fingerprint from b",
     "key_kinds": f"with {KEYS}, mp as (select source_id, key, mention_id, min(pos) as pos from ks group by all), tc as (select mp.source_id, key, type, count(*) as n, min(pos) as pos from mp join m using (mention_id) group by all), pk as (select source_id, key, sum(n)::bigint as n_mentions, min(pos) = 0 as own from tc group by all), tt as (select * from tc qualify row_number() over (partition by source_id, key order by n desc, type nulls first) = 1) "
     f"select source_id, key, case when type = 'LOCATION' then 'location' when type = 'ORGANIZATION' then 'organization' when not own then 'alias' when len(string_split(key, ' ')) = 1 then 'surname' when list_contains({_list(PARTICLES)}, string_split(key, ' ')[1]) then 'surname with particle' when not list_contains({_list(PARTICLES)}, string_split(key, ' ')[-1]) then 'full name' else 'other' end as kind, n_mentions from pk join tt using (source_id, key)",
     "key_components": _kept(False),

@@ -11,14 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import Chunking, Fusion, Graph, Resources, Retrieval, Rules, Variant
-from weftline.operators import chunking, fusion, graph, ledger, lexical, reasoning, retrieval, vector
+from weftline.operators import chunking, fusion, ledger, reasoning, retrieval, vector
 from weftline.operators import verification as V
+from weftline.operators.indexes import DenseIndex, GraphIndex, Index, LexicalIndex
 from weftline.session import cut
 
-#: Queries whose cosines with a batch of chunks are held at once.
-DENSE_BLOCK = 1_000
-
-
 class Decomposer(Protocol):
     """Claims (claim_id, text) to atomic claims (claim_id, parent_claim_id, claim_index, text) and errors (claim_id, reason)."""
 
@@ -130,20 +127,19 @@ class Ledger:
         return ledger.fingerprint(parts, "parent_claim_id")
 
 
+def index_of(backend: str, res: Resources, steps: Steps) -> Index:
+    """The index behind a backend's name."""
+    made = {"LEXICAL": lambda: LexicalIndex(res.retrieval), "SEMANTIC": lambda: DenseIndex(steps.vectorise), "GRAPH": lambda: GraphIndex(res.graph)}
+    if backend not in made:
+        raise ValueError(f"unknown backend {backend!r}")
+    return made[backend]()
+
+
 def search(backend: str, queries: DataFrame, chunks: DataFrame, res: Resources, steps: Steps) -> DataFrame:
     """(query_id, chunk_id, raw_score, rank) of one backend for all queries (query_id, text) at once."""
-    if backend == "LEXICAL":
-        return lexical.bm25_search(queries, chunks, res.retrieval)
-    if backend == "SEMANTIC":
-        vectors = cut(steps.vectorise(chunks.select("chunk_id", "text").distinct(), "chunk_id", "text"))
-        wanted = steps.vectorise(queries, "query_id", "text").withColumnRenamed("query_id", "chunk_id")
-        return vector.nearest(vectors, wanted, res.retrieval.top_k, "chunk_id", block=DENSE_BLOCK).withColumnRenamed("cosine", "raw_score")
-    if backend == "GRAPH":
-        found = cut(graph.chunk_mentions(chunks.select("chunk_id", "text", F.struct("source_id", "char_start").alias("pos")), res.graph.least_mention))
-        ents = cut(graph.entities_of(found))
-        places = found.join(ents, "name").select("entity_id", "chunk_id").distinct()
-        return graph.traverse(graph.entry_entities(queries, ents, res.graph.least_mention), graph.cooccurrence(found, ents), places, res.graph.max_hops, res.retrieval.top_k)
-    raise ValueError(f"unknown backend {backend!r}")
+    index = index_of(backend, res, steps)
+    index.index(chunks)
+    return index.query(queries, res.retrieval.top_k)
 
 
 def run(narratives: DataFrame, claims: DataFrame, variant: Variant = Variant(), res: Resources = Resources(), steps: Steps = Steps()) -> Ledger:

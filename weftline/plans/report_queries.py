@@ -275,6 +275,12 @@ def graph_records_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return construction.graph_fingerprint(lines, ["source_id"], ["section", "order"])
 
 
+def records_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """All entity records of all narratives as one fingerprint."""
+    e = table(spark, d, "entity_records").select("source_id", "entity_id", "canonical_name", "entity_type").distinct()
+    return construction.bucketed_fingerprint(construction.entity_lines(e, ["source_id"]), "order")
+
+
 def key_kinds(spark: SparkSession, d: str) -> DataFrame:
     m = cut(Q._mentions(spark, d))
     return audits.key_kinds(resolution.merge_keys(m), m)
@@ -320,5 +326,5 @@ def local_entities(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     record_ids, token_cost, query_validation, fused_records, evidence_by_claim, unstamped_evidence, confusion_table, claim_scores, gold_sanity, contradiction_recall, variant_accuracy, verdict_changes, verifier_comparison,
     missed_contradictions, contradiction_grounding, run_determinism, ledger_integrity, ledger_recorded, ledger_fingerprint_full, entity_provenance, graph_neighbours, entity_lookup, events_resolved, event_participations,
-    event_rejects, typed_edges, graph_records_fingerprint, key_kinds, key_components, strong_key_components, ambiguous_families, family_components, local_entities,
+    event_rejects, typed_edges, graph_records_fingerprint, records_fingerprint, key_kinds, key_components, strong_key_components, ambiguous_families, family_components, local_entities,
 )}
