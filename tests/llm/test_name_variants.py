@@ -1,5 +1,6 @@
 import pytest
 
+from weftline.llm import name_variants
 from weftline.llm.name_variants import block_keys, is_generic, link_names, name_score, variant_mentions, words_of_name
 
 
@@ -63,3 +64,21 @@ def test_profile_unites_words_of_several_spellings(spark):
     e = spark.createDataFrame([("e", "s", "Elizabeth Vandivick"), ("e", "s", "Elizabeth Vandivick"), ("p", "s", "Peraric Vandivick")], "entity_id string, source_id string, canonical_name string")
     assert all(name_score("Lizzje Vandovaxk", x) == 0 for x in ("Elizabeth Vandivick", "Lizzie Vandivick", "Elizabeth Vandovack"))
     assert {(r.mention_id, r.entity_id) for r in link_names(m, e).collect()} == {(1, "e"), (2, "e"), (3, "e")}
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    plans, cut = [], name_variants.cut
+
+    def watched(df):
+        df.collect()  # for the plan that ran, as AQE left it
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(name_variants, "cut", watched)
+    rows = [(1, "s", "Lizzie Vandivick", None), (2, "s", "Elizabeth Vandovack", None), (3, "s", "Lizzje Vandovaxk", None), (4, "s", "Vandivick", ["Peraric Vandivick"])]
+    m = spark.createDataFrame(rows, "mention_id long, source_id string, name string, aliases array<string>")
+    e = spark.createDataFrame([("e", "s", "Elizabeth Vandivick"), ("p", "s", "Peraric Vandivick")], "entity_id string, source_id string, canonical_name string")
+    links = variant_mentions(m, e)
+    assert {(r.mention_id, r.entity_id) for r in links.collect()} == {(1, "e"), (2, "e"), (3, "e"), (4, "p")}
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)

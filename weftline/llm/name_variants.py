@@ -263,6 +263,15 @@ def block_keys(name: str, fuzzy: bool = True) -> set[int]:
     return slot_keys(tuple((w,) for w in words_of_name(name)), fuzzy)
 
 
+def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, neither of which goes to the driver.
+
+    Spark guesses sizes by files and doesn't see how many rows Python makes of one: blocking keys of
+    profiles that it took for less than 256 KB were 55 MB once broadcast, and the threshold may be much higher.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _with_words(names: DataFrame, column: str, fuzzy: bool = False) -> DataFrame:
     """(.., words) of distinct (source_id, column): the telling words with their numbers, as a profile's form; names that tell nobody are left out."""
 
@@ -322,7 +331,7 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
     p = params
     m = cut(mentions.where("mention_id is not null and name is not null and source_id is not null").select("mention_id", "source_id", "name", F.array_sort(F.array_distinct(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull()))).alias("aliases")).distinct())
     e = cut(entities.where("entity_id is not null and canonical_name is not null and source_id is not null").select("source_id", "entity_id", F.col("canonical_name").alias("form")).distinct())
-    canonical = cut(_with_words(e, "form").join(e, ["source_id", "form"]).select("source_id", "entity_id", F.col("form").alias("canonical"), "words"))  # an entity has a profile for each of its canonical names
+    canonical = cut(_matched(_with_words(e, "form"), e, ["source_id", "form"]).select("source_id", "entity_id", F.col("form").alias("canonical"), "words"))  # an entity has a profile for each of its canonical names
     word = F.split(F.col("item"), ":")
     one = ["source_id", "entity_id", "canonical"]
     items = lambda df, c, rank: df.select(*one, F.explode(F.split(c, " ")).alias("item")).where("item <> ''").select(*one, word[0].cast("int").alias("slot"), F.lit(rank).alias("rank"), word[1].alias("word"))
@@ -333,8 +342,8 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
     doubtful: DataFrame | None = None  # the ties of all rounds
     fuzzy = False
     while True:  # each round but the first and the last takes names from the open ones
-        pairs = _keyed(open_names, ["source_id", "name"], fuzzy).join(_keyed(profile, one, fuzzy), ["source_id", "key"]).select(*one, "name").distinct()
-        pairs = pairs.join(profile.select(*one, F.col("words").alias("form")), one).join(open_names, ["source_id", "name"])
+        pairs = _matched(_keyed(open_names, ["source_id", "name"], fuzzy), _keyed(profile, one, fuzzy), ["source_id", "key"]).select(*one, "name").distinct()
+        pairs = _matched(_matched(pairs, profile.select(*one, F.col("words").alias("form")), one), open_names, ["source_id", "name"])
         fits = _scored(pairs.select("source_id", "name", "words", "entity_id", "form", "canonical"), p.least)
         held = cut(fits.groupBy("source_id", "name", "entity_id").agg(F.max(F.struct("score", "canonical", "learnt")).alias("_f")).select("source_id", "name", "entity_id", "_f.*"))
         best = Window.partitionBy("source_id", "name")
@@ -346,20 +355,20 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
         some = bool(sure.take(1))
         if fuzzy and not some:
             break
-        open_names = cut(open_names.join(held.select("source_id", "name").distinct(), ["source_id", "name"], "left_anti"))
+        open_names = cut(_matched(open_names, held.select("source_id", "name").distinct(), ["source_id", "name"], "left_anti"))
         if not open_names.take(1):
             break
         # only spellings that name more than a family enrich a profile; a profile holds each different word once
         new = items(sure.where("score > 2.3"), "learnt", 1).distinct()
         changed = new.select(*one).distinct()
-        known = cut(known.unionByName(new.join(known.select(*one, "slot", "word"), [*one, "slot", "word"], "left_anti").select(known.columns)))
+        known = cut(known.unionByName(_matched(new, known.select(*one, "slot", "word"), [*one, "slot", "word"], "left_anti").select(known.columns)))
         words = F.transform(F.array_sort(F.collect_list(F.struct("slot", "rank", "word"))), lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["word"]))
-        wanted = known.join(changed, one, "left_semi") if fuzzy else known  # after the first round every profile meets the open names again, under more keys
+        wanted = _matched(known, changed, one, "left_semi") if fuzzy else known  # after the first round every profile meets the open names again, under more keys
         profile = cut(wanted.groupBy(*one).agg(F.array_join(words, " ").alias("words")))
         fuzzy = True
-    linked = m.join(merged.select("source_id", "name", "entity_id"), ["source_id", "name"]).select("mention_id", "entity_id")
+    linked = _matched(m, merged.select("source_id", "name", "entity_id"), ["source_id", "name"]).select("mention_id", "entity_id")
     told = (
-        m.join(doubtful, ["source_id", "name"]).join(e, ["source_id", "entity_id"]).withColumn("told", _alias_score("aliases", "form")).where("told > 0")
+        _matched(_matched(m, doubtful, ["source_id", "name"]), e, ["source_id", "entity_id"]).withColumn("told", _alias_score("aliases", "form")).where("told > 0")
         .groupBy("mention_id", "entity_id").agg(F.max("told").alias("told"))
     )
     each = Window.partitionBy("mention_id")
@@ -370,5 +379,5 @@ def link_names(mentions: DataFrame, entities: DataFrame, params: Linking = Linki
 def variant_mentions(mentions: DataFrame, entities: DataFrame, params: Linking = Linking()) -> DataFrame:
     """The links of mentions whose name is not character for character the entity's canonical name."""
     links = link_names(mentions, entities, params)
-    named = links.join(mentions.select("mention_id", "name").distinct(), "mention_id").join(entities.select("entity_id", "canonical_name").distinct(), "entity_id")
+    named = _matched(_matched(links, mentions.select("mention_id", "name").distinct(), ["mention_id"]), entities.select("entity_id", "canonical_name").distinct(), ["entity_id"])
     return named.where("name <> canonical_name").select("mention_id", "entity_id").distinct()
