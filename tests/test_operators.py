@@ -235,3 +235,59 @@ def test_verify_fuses_dense_hits_and_questions(spark, monkeypatch):
     best = {r.atomic_claim_id: r.chunk_id for r in rows if r["rank"] == 1}
     assert best["c"] != best["d"]
     assert seen[0].where("source = 'LEXICAL'").select("query_id").distinct().count() == 4
+
+
+def test_searches_with_bounds_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    monkeypatch.setattr(vector, "LEAST_SAMPLE", 20)
+    monkeypatch.setattr(lexical, "CHUNK_BLOCK", 40)
+    monkeypatch.setattr(lexical, "QUERY_PASS", 15)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: [words[min(int(rng.expovariate(0.12)), 59)] for _ in range(n)]
+    texts = {f"c{i:03}": pick(rng.randrange(1, 25)) for i in range(300)}
+    asked = {i: pick(6) for i in range(30)} | {30: ["unknown"], 31: ["w59"]}
+    c = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "chunk_id string, text string").repartition(4)
+    q = spark.createDataFrame([(k, " ".join(v)) for k, v in asked.items()], "query_id int, text string")
+    n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = {w: sum(w in set(t) for t in texts.values()) for w in words}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items() if d}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    score = lambda a, t: round(sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in a), 6)
+    want = {(k, i + 1): x[1] for k, a in asked.items() for i, x in enumerate(sorted((-score(a, t), c) for c, t in texts.items())[:5])}
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in lexical.bm25_search(q, c, Retrieval(top_k=5)).collect()} == want
+
+    x = np.random.default_rng(1).integers(0, 3, size=(300, 4)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vector.nearest(v, v.where("vec_id % 7 = 0"), 5, block=20).collect()}
+    real = [j for j in range(300) if x[j].any()]
+    assert got == {(i, k + 1): j for i in range(0, 300, 7) for k, (_, j) in enumerate(sorted((-round(float(u[i] @ u[j]), 6), j) for j in real if j != i)[:5])}
+
+
+def test_ties_of_a_batch_are_bounded():
+    import numpy as np
+    import pyarrow as pa
+
+    class Sent:
+        value = ({}, np.ones((2, 4)) / 2, np.full(2, -np.inf))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"k{i:03}" for i in range(200)]), pa.array([[1.0] * 4] * 200)], ["chunk_id", "embedding"])
+    assert [r["key"] for b in vector._cosines(Sent, 3)(iter([batch])) for r in b.to_pylist()] == ["k000", "k001", "k002"] * 2
+    words = pa.RecordBatch.from_arrays([batch.column(0), pa.array([["a", "b"]] * 200)], ["chunk_id", "words"])
+    Sent.value = (pa.array(["a"]), np.array([0, 1]), np.array([0], dtype=np.int32), np.array([1.0]), np.full(1, -np.inf), 2.0)
+    assert [r["key"] for b in lexical._scores(Sent, Retrieval(top_k=3))(iter([words])) for r in b.to_pylist()] == ["k000", "k001", "k002"]
+
+
+def test_alike_queries_walk_the_graph_once(spark, monkeypatch):
+    from weftline.operators.indexes import GraphIndex
+
+    walked = []
+    walk = graph.traverse
+    monkeypatch.setattr(graph, "traverse", lambda entry, *a: walked.append(entry.select("query_id").distinct().count()) or walk(entry, *a))
+    chunks = spark.createDataFrame([("k1", "Tom Fen left", "s", 0), ("k2", "Ann Lee met Tom Fen", "s", 30)], "chunk_id string, text string, source_id string, char_start int")
+    q = spark.createDataFrame([("a", "Where is Ann Lee?"), ("b", "Ann Lee left"), ("c", "Tom Fen?"), ("d", "nobody")], "query_id string, text string")
+    index = GraphIndex()
+    index.index(chunks)
+    assert rows(index.query(q, 1).select("query_id", "chunk_id", "raw_score")) == [("a", "k2", 1.5), ("b", "k2", 1.5), ("c", "k2", 1.5)] and walked == [2]

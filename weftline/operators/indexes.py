@@ -13,9 +13,6 @@ from weftline.config import Graph, Retrieval
 from weftline.operators import graph, lexical, vector
 from weftline.session import cut
 
-#: Queries whose cosines with a batch of chunks are held at once.
-DENSE_BLOCK = 1_000
-
 
 class Index(Protocol):
     """Built once from chunks (chunk_id, text, source_id, char_start); gives (query_id, chunk_id, raw_score, rank) of queries (query_id, text)."""
@@ -61,11 +58,14 @@ class DenseIndex:
     def query(self, queries: DataFrame, top_k: int) -> DataFrame:
         _checked(self._vectors, top_k)
         wanted = self.vectorise(queries, "query_id", "text").withColumnRenamed("query_id", "chunk_id")
-        return vector.nearest(self._vectors, wanted, top_k, "chunk_id", block=DENSE_BLOCK).withColumnRenamed("cosine", "raw_score")
+        return vector.nearest(self._vectors, wanted, top_k, "chunk_id").withColumnRenamed("cosine", "raw_score")
 
 
 class GraphIndex:
-    """Chunks of the entities a query mentions and of their neighbours; a query that mentions none has no row."""
+    """Chunks of the entities a query mentions and of their neighbours; a query that mentions none has no row.
+
+    Queries that mention the same entities are walked once.
+    """
 
     def __init__(self, cfg: Graph = Graph()) -> None:
         self.cfg, self._entities = cfg, None
@@ -81,4 +81,8 @@ class GraphIndex:
 
     def query(self, queries: DataFrame, top_k: int) -> DataFrame:
         _checked(self._entities, top_k)
-        return graph.traverse(graph.entry_entities(queries, self._entities, self.cfg.least_mention), self._edges, self._places, self.cfg.max_hops, top_k)
+        entry = graph.entry_entities(queries, self._entities, self.cfg.least_mention)
+        sets = cut(entry.groupBy("query_id").agg(F.array_sort(F.collect_set("entity_id")).alias("_set")))
+        alike = cut(sets.groupBy("_set").agg(F.min("query_id").alias("_first")))
+        walked = graph.traverse(alike.select(F.col("_first").alias("query_id"), F.explode("_set").alias("entity_id")), self._edges, self._places, self.cfg.max_hops, top_k)
+        return sets.join(alike, "_set").select("query_id", "_first").join(walked.withColumnRenamed("query_id", "_first"), "_first").drop("_first")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.config import Retrieval
 from weftline.functions.text import tokens
+from weftline.operators.vector import kth_best, sampled
 from weftline.session import cut
 
 
@@ -32,47 +33,86 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return cut(chunks.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")))
 
 
-#: Queries sent to all executors for one pass over the chunks, and of these how many are scored at once.
-QUERY_PASS, QUERY_BLOCK = 20_000, 500
+#: Queries sent to all executors for one pass over the chunks, chunks that are scored at once, and the share of them from which a word is a frequent one.
+QUERY_PASS, CHUNK_BLOCK, FREQUENT = 20_000, 8_192, 1 / 16
+
+
+def _postings(words: pa.Array, known: pa.Array, avgdl: float, cfg: Retrieval) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, values, bounds): term t of ``known`` is in chunks[bounds[t] : bounds[t + 1]], with BM25's value of its count and the chunk's length."""
+    n, length = len(words), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    at = pc.index_in(words.flatten(), known)
+    there = at.is_valid().to_numpy(zero_copy_only=False)
+    place, tf = np.unique(at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), length)[there], return_counts=True)
+    term, chunk = np.divmod(place, n)
+    value = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * length[chunk] / avgdl))
+    return chunk, value, np.searchsorted(term, np.arange(len(known) + 1))
+
+
+def _block_hits(ids: pa.Array, words: pa.Array, sent: tuple, cfg: Retrieval) -> Iterator[pa.RecordBatch]:
+    """The rows (q, key, score) of some chunks that can be among the best of each query.
+
+    Rare words are added up over their chunks. What then can't reach the query's bound with all its
+    frequent words at their highest is left, and again after each frequent word.
+    """
+    known, first, terms, weights, least, avgdl = sent
+    order = pc.sort_indices(ids)  # ties by id
+    ids, words = ids.take(order), words.take(order)
+    chunks, values, bounds = _postings(words, known, avgdl, cfg)
+    n, df = len(ids), np.diff(bounds)
+    frequent, full = df > FREQUENT * n, {}
+    for t in np.flatnonzero(frequent).tolist():
+        full[t] = np.zeros(n)
+        full[t][chunks[bounds[t] : bounds[t + 1]]] = values[bounds[t] : bounds[t + 1]]
+    most = {t: float(x.max()) for t, x in full.items()}
+    alike: dict[tuple[bytes, bytes], list[int]] = {}
+    often, seen = frequent[terms], df[terms] > 0
+    for q in range(len(first) - 1):  # claims and their questions mostly have the same rare words
+        a, b = first[q], first[q + 1]
+        own = seen[a:b] & ~often[a:b]
+        alike.setdefault((terms[a:b][own].tobytes(), weights[a:b][own].tobytes()), []).append(q)
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for (rare, weight), members in alike.items():
+        sums = np.zeros(n)
+        for t, w in zip(np.frombuffer(rare, terms.dtype).tolist(), np.frombuffer(weight, weights.dtype).tolist()):
+            sums[chunks[bounds[t] : bounds[t + 1]]] += w * values[bounds[t] : bounds[t + 1]]
+        for q in members:
+            a, b = first[q], first[q + 1]
+            rest = sorted(((max(w, 0.0) * most[t], w, t) for t, w in zip(terms[a:b][often[a:b]].tolist(), weights[a:b][often[a:b]].tolist())), reverse=True)
+            open_, bound = sum(x for x, _, _ in rest), least[q] - 1e-6
+            c = np.flatnonzero(sums >= bound - open_)
+            s = sums[c]
+            for x, w, t in rest:
+                s = s + w * full[t][c]
+                open_ -= x
+                if np.isfinite(bound):
+                    near = s >= bound - open_
+                    c, s = c[near], s[near]
+            s = np.round(s, 6)
+            near = (s > 0) & (s >= least[q])
+            c, s = c[near], s[near]
+            if len(c) > cfg.top_k:
+                kept = np.argsort(-s, kind="stable")[: cfg.top_k]
+                c, s = c[kept], s[kept]
+            if len(c):
+                out.append((q, c, s))
+    if out:
+        q = np.repeat(np.array([x[0] for x in out], dtype=np.int32), [len(x[1]) for x in out])
+        yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(np.concatenate([x[1] for x in out]))), pa.array(np.concatenate([x[2] for x in out]))], ["q", "key", "score"])
 
 
 def _scores(sent, cfg: Retrieval):
-    """Partition of chunks to the rows that can be among the best of each query."""
+    """Partition of chunks (chunk_id, words) to the rows (q, key, score) that can be among the best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row, bounds, query, weight, avgdl = sent.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                terms, tfs, owner = [], [], []
-                for i, words in enumerate(b.column(1).to_pylist()):
-                    norm = cfg.k1 * (1 - cfg.b + cfg.b * len(words) / avgdl)
-                    for w, tf in Counter(words).items():
-                        if (k := row.get(w)) is not None:
-                            terms.append(k)
-                            tfs.append(tf * (cfg.k1 + 1) / (tf + norm))
-                            owner.append(i)
-                if not terms:
-                    continue
-                chunk, at = np.unique(owner, return_inverse=True)
-                known, col = np.unique(terms, return_inverse=True)
-                held = np.zeros((len(chunk), len(known)))
-                held[at, col] = tfs
-                entry = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in known])
-                place = np.repeat(np.arange(len(known)), bounds[known + 1] - bounds[known])
-                order = np.argsort(query[entry], kind="stable")
-                entry, place = entry[order], place[order]
-                for first in range(0, len(ids), QUERY_BLOCK):
-                    x, y = np.searchsorted(query[entry], [first, first + QUERY_BLOCK])
-                    if x == y:
-                        continue
-                    dense = np.zeros((len(known), min(QUERY_BLOCK, len(ids) - first)))
-                    dense[place[x:y], query[entry[x:y]] - first] = weight[entry[x:y]]
-                    s = np.round(held @ dense, 6)
-                    n = min(cfg.top_k, len(s))
-                    kth = -np.partition(-s, n - 1, axis=0)[n - 1]
-                    r, q = np.nonzero((s >= kth) & (s > 0))  # ties at the k-th place stay for the final order
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q + first]), b.column(0).take(pa.array(chunk[r])), pa.array(s[r, q])], ["query_id", "chunk_id", "raw_score"])
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= CHUNK_BLOCK:
+                whole, held = pa.Table.from_batches(held).combine_chunks(), []
+                yield from _block_hits(whole.column(0).combine_chunks(), whole.column(1).combine_chunks(), sent.value, cfg)
+        if sum(x.num_rows for x in held):
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield from _block_hits(whole.column(0).combine_chunks(), whole.column(1).combine_chunks(), sent.value, cfg)
 
     return run
 
@@ -82,27 +122,40 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieva
 
     A query's terms count as often as it has them. Chunks without a common term score 0 and fill
     up to top_k in the order of their ids; of those only the 2 * top_k smallest ids can be needed.
-    Chunks are tokenised once. A pass over them serves QUERY_PASS queries, sent as their weighted terms, a few MB; each partition of chunks multiplies its
-    terms with a block of them at a time and passes on only what can be among the best, so a word that is in
-    every chunk and every query costs no shuffle.
+    Chunks are tokenised once. A pass over them serves QUERY_PASS queries, sent as their weighted terms, a few MB. A sample of the chunks gives each query a bound
+    for its top_k-th score, then each partition of chunks passes on, of what reaches the bound, at most top_k per query,
+    so a word that is in every chunk and every query costs no shuffle.
     """
     spark = chunks.sparkSession
     words = tokenised(chunks.select("chunk_id", "text"))
-    stats, _, avgdl = term_statistics(words, cfg)
+    stats, n, avgdl = term_statistics(words, cfg)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = cut(asked.join(stats.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")))
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": chunks.schema["chunk_id"].dataType.simpleString()}
     passes = max(1, -(-weighted.select("query_id").distinct().count() // QUERY_PASS))
-    smallest = words.select("chunk_id").orderBy("chunk_id").limit(2 * cfg.top_k)
-    best = queries.select("query_id").distinct().crossJoin(F.broadcast(smallest)).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"))
+    some, schema = sampled(words, "chunk_id", n), f"q int, key {kinds['chunk_id']}, score double"
+    best, enough = None, []
     for i in range(passes):
-        held = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).orderBy("term", "query_id").toPandas()  # the terms of about QUERY_PASS queries
-        if not len(held):
+        held = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow()  # the terms of about QUERY_PASS queries
+        if not held.num_rows:
             continue
-        ids, q = np.unique(held["query_id"].to_numpy(), return_inverse=True)
-        term, first = np.unique(held["term"].to_numpy().astype(str), return_index=True)
-        sent = spark.sparkContext.broadcast((ids, {t: k for k, t in enumerate(term.tolist())}, np.append(first, len(held)), q, held["w"].to_numpy(), avgdl))
-        best = best.unionByName(words.mapInArrow(_scores(sent, cfg), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"))
-    best = best.groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
+        ids, known = held.column("query_id").unique(), held.column("term").unique()
+        q, term = pc.index_in(held.column("query_id"), ids).to_numpy(), pc.index_in(held.column("term"), known).to_numpy()
+        order = np.lexsort((term, q))
+        sent = (known, np.searchsorted(q[order], np.arange(len(ids) + 1)), term[order], held.column("w").to_numpy()[order])
+        bound = kth_best(some.mapInArrow(_scores(spark.sparkContext.broadcast((*sent, np.full(len(ids), -np.inf), avgdl)), cfg), schema), cfg.top_k, len(ids))
+        enough.append(ids.filter(pa.array(np.isfinite(bound))))
+        hits = words.mapInArrow(_scores(spark.sparkContext.broadcast((*sent, bound, avgdl)), cfg), schema)
+        named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids), dtype=np.int32)), "query_id": ids}))
+        top = hits.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("_n") <= cfg.top_k)
+        part = top.join(F.broadcast(named), "q").select(F.col("query_id").cast(kinds["query_id"]), F.col("key").alias("chunk_id"), F.col("score").alias("raw_score"))
+        best = part if best is None else best.unionByName(part)
+    short = queries.select("query_id").distinct()
+    for ids in enough:
+        if len(ids):
+            short = short.join(spark.createDataFrame(pa.table({"query_id": ids})), "query_id", "left_anti")
+    smallest = words.select("chunk_id").orderBy("chunk_id").limit(2 * cfg.top_k)
+    fill = short.crossJoin(F.broadcast(smallest)).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"))
+    best = (fill if best is None else best.unionByName(fill)).groupBy("query_id", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.top_k)
