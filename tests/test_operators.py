@@ -280,6 +280,23 @@ def test_ties_of_a_batch_are_bounded():
     assert [r["key"] for b in lexical._scores(Sent, Retrieval(top_k=3))(iter([words])) for r in b.to_pylist()] == ["k000", "k001", "k002"]
 
 
+def test_walks_in_passes_are_those_of_a_plain_sum(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(graph, "WALK_ROWS", 20)
+    monkeypatch.setattr(graph, "WALK_SUMS", 7)
+    seen = {(f"q{i}", f"e{j}"): rng.randrange(0, 9) / 2 for i in range(12) for j in range(15) if rng.random() < (0.9 if i < 4 else 0.1)}
+    places = {(f"e{rng.randrange(15)}", f"c{rng.randrange(40):02}") for _ in range(150)}
+    got = graph._ranked(spark.createDataFrame([(q, e, g) for (q, e), g in seen.items()], "query_id string, entity_id string, gain double"), spark.createDataFrame(sorted(places), "entity_id string, chunk_id string"), 4)
+    sums: dict[tuple, float] = {}
+    for (q, e), g in seen.items():
+        for c in (c for x, c in places if x == e):
+            sums[q, c] = sums.get((q, c), 0.0) + g
+    want = [(q, c, s, k + 1) for q in sorted({q for q, _ in sums}) for k, (s, c) in enumerate(sorted(((-s, c) for (x, c), s in sums.items() if x == q))[:4]) for s in [-s]]
+    assert rows(got) == sorted(want)
+    none = spark.createDataFrame([], "query_id string, entity_id string, gain double")
+    assert graph._ranked(none, spark.createDataFrame(sorted(places), "entity_id string, chunk_id string"), 4).count() == 0
+
+
 def test_alike_queries_walk_the_graph_once(spark, monkeypatch):
     from weftline.operators.indexes import GraphIndex
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_id, mentions
+from weftline.operators.vector import best_of
 from weftline.session import cut
 
 
@@ -89,9 +91,78 @@ def traverse(entry: DataFrame, edges: DataFrame, places: DataFrame, hops: int, t
         new = reached.select("query_id", F.col("next").alias("entity_id"), (F.col("weight") / (1 + hop)).alias("gain")).join(seen.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
         seen = seen.unionByName(new)
         frontier = new.select("query_id", "entity_id")
-    scored = seen.join(places.select("entity_id", "chunk_id"), "entity_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("raw_score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return _ranked(cut(seen), places, top_k)
+
+
+#: Rows (query, entity, gain) sent to all executors at once, about 30 bytes each, and sums of gains that a task makes at once.
+WALK_ROWS, WALK_SUMS = 400_000, 4_000_000
+
+
+def _gathered(sent, k: int):
+    """Partition of chunks (chunk_id, entities) to the rows (q, key, score) that can be among the best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bounds, query, gain, n_queries = sent.value
+        for b in batches:
+            b = b.take(pc.sort_indices(b.column(0)))  # ties by id
+            at = pc.index_in(b.column(1).flatten(), known)
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))[there]
+            entity = at.drop_null().to_numpy(zero_copy_only=False)
+            count = bounds[entity + 1] - bounds[entity]
+            done = np.concatenate([[0], np.cumsum(np.bincount(row, count, minlength=b.num_rows))])
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(done, done[lo] + WALK_SUMS, side="right")) - 1)
+                x, y = np.searchsorted(row, [lo, hi])
+                n, times = hi - lo, count[x:y]
+                entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - bounds[entity[x:y]], times)
+                place = query[entry] * np.int64(n) + np.repeat(row[x:y] - lo, times)
+                if n * n_queries <= 4 * len(place):
+                    hit = np.flatnonzero(np.bincount(place, minlength=n * n_queries))
+                    score = np.bincount(place, gain[entry], minlength=n * n_queries)[hit]
+                else:
+                    hit, own = np.unique(place, return_inverse=True)
+                    score = np.bincount(own, gain[entry], minlength=len(hit))
+                r, c, score = best_of(hit // n, hit % n, np.round(score, 6), k)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), b.column(0).take(pa.array(c + lo)), pa.array(score)], ["q", "key", "score"])
+                lo = hi
+
+    return run
+
+
+def _ranked_pass(own: DataFrame, held: DataFrame, top_k: int) -> DataFrame | None:
+    """_ranked of the gains of one pass, over ``held`` (chunk_id, entities)."""
+    spark, kinds = own.sparkSession, {"query_id": own.schema["query_id"].dataType.simpleString(), "chunk_id": held.schema["chunk_id"].dataType.simpleString()}
+    ids = own.select("query_id").distinct().toArrow().column(0).combine_chunks()
+    if not len(ids):
+        return None
+    named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids), dtype=np.int32)), "query_id": ids}))
+    gains = own.join(F.broadcast(named), "query_id").select("q", "entity_id", "gain").toArrow()
+    known = gains.column("entity_id").unique()
+    entity = pc.index_in(gains.column("entity_id"), known).to_numpy()
+    order = np.argsort(entity, kind="stable")
+    sent = spark.sparkContext.broadcast((known, np.searchsorted(entity[order], np.arange(len(known) + 1)), gains.column("q").to_numpy()[order], gains.column("gain").to_numpy()[order], len(ids)))
+    hits = held.mapInArrow(_gathered(sent, top_k), f"q int, key {kinds['chunk_id']}, score double")
+    top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= top_k)
+    return top.join(F.broadcast(named), "q").select(F.col("query_id").cast(kinds["query_id"]), F.col("key").alias("chunk_id"), F.col("score").alias("raw_score"), "rank")
+
+
+def _ranked(seen: DataFrame, places: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, chunk_id, raw_score, rank): the chunks with the highest sums of the gains of ``seen`` (query_id, entity_id, gain).
+
+    Gains go out in passes of about WALK_ROWS; each partition of chunks adds them up and passes on top_k per query, so the rows of a name that is in every chunk are never shuffled.
+    """
+    held = cut(places.where("entity_id is not null").groupBy("chunk_id").agg(F.collect_list("entity_id").alias("entities")))
+    passes = -(-seen.count() // WALK_ROWS)
+    found = None
+    for i in range(passes):
+        part = _ranked_pass(seen.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i), held, top_k)
+        found = part if found is None else found if part is None else found.unionByName(part)
+    if found is None:
+        return seen.crossJoin(held.select("chunk_id")).select("query_id", "chunk_id", F.lit(0.0).alias("raw_score"), F.lit(0).alias("rank")).limit(0)
+    return found
 
 
 def topology(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import Retrieval
 from weftline.functions.text import tokens
-from weftline.operators.vector import kth_best, sampled
+from weftline.operators.vector import best_of, kth_best, sampled
 from weftline.session import cut
 
 
@@ -33,71 +33,70 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return cut(chunks.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")))
 
 
-#: Queries sent to all executors for one pass over the chunks, chunks that are scored at once, and the share of them from which a word is a frequent one.
-QUERY_PASS, CHUNK_BLOCK, FREQUENT = 20_000, 8_192, 1 / 16
+#: Queries sent to all executors for one pass over the chunks; queries and chunks that are scored at once; the share of pairs of both with a word from which it is a frequent one.
+QUERY_PASS, QUERY_SLICE, CHUNK_BLOCK, FREQUENT = 20_000, 256, 8_192, 0.003
 
 
-def _postings(words: pa.Array, known: pa.Array, avgdl: float, cfg: Retrieval) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunks, values, bounds): term t of ``known`` is in chunks[bounds[t] : bounds[t + 1]], with BM25's value of its count and the chunk's length."""
+def _postings(words: pa.Array, known: pa.Array, avgdl: float, cfg: Retrieval) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values): the sorted numbers term * chunks + chunk of the terms of ``known``, with BM25's value of the term's count and the chunk's length."""
     n, length = len(words), pc.list_value_length(words).to_numpy(zero_copy_only=False)
     at = pc.index_in(words.flatten(), known)
     there = at.is_valid().to_numpy(zero_copy_only=False)
     place, tf = np.unique(at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), length)[there], return_counts=True)
-    term, chunk = np.divmod(place, n)
-    value = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * length[chunk] / avgdl))
-    return chunk, value, np.searchsorted(term, np.arange(len(known) + 1))
+    return place, tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * length[place % n] / avgdl))
 
 
 def _block_hits(ids: pa.Array, words: pa.Array, sent: tuple, cfg: Retrieval) -> Iterator[pa.RecordBatch]:
     """The rows (q, key, score) of some chunks that can be among the best of each query.
 
-    Rare words are added up over their chunks. What then can't reach the query's bound with all its
-    frequent words at their highest is left, and again after each frequent word.
+    Scores of 32 bits, by a product for frequent words and by their chunks for others, only find the pairs that are scored in full.
     """
     known, first, terms, weights, least, avgdl = sent
     order = pc.sort_indices(ids)  # ties by id
     ids, words = ids.take(order), words.take(order)
-    chunks, values, bounds = _postings(words, known, avgdl, cfg)
-    n, df = len(ids), np.diff(bounds)
-    frequent, full = df > FREQUENT * n, {}
-    for t in np.flatnonzero(frequent).tolist():
-        full[t] = np.zeros(n)
-        full[t][chunks[bounds[t] : bounds[t + 1]]] = values[bounds[t] : bounds[t + 1]]
-    most = {t: float(x.max()) for t, x in full.items()}
-    alike: dict[tuple[bytes, bytes], list[int]] = {}
-    often, seen = frequent[terms], df[terms] > 0
-    for q in range(len(first) - 1):  # claims and their questions mostly have the same rare words
-        a, b = first[q], first[q + 1]
-        own = seen[a:b] & ~often[a:b]
-        alike.setdefault((terms[a:b][own].tobytes(), weights[a:b][own].tobytes()), []).append(q)
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for (rare, weight), members in alike.items():
-        sums = np.zeros(n)
-        for t, w in zip(np.frombuffer(rare, terms.dtype).tolist(), np.frombuffer(weight, weights.dtype).tolist()):
-            sums[chunks[bounds[t] : bounds[t + 1]]] += w * values[bounds[t] : bounds[t + 1]]
-        for q in members:
-            a, b = first[q], first[q + 1]
-            rest = sorted(((max(w, 0.0) * most[t], w, t) for t, w in zip(terms[a:b][often[a:b]].tolist(), weights[a:b][often[a:b]].tolist())), reverse=True)
-            open_, bound = sum(x for x, _, _ in rest), least[q] - 1e-6
-            c = np.flatnonzero(sums >= bound - open_)
-            s = sums[c]
-            for x, w, t in rest:
-                s = s + w * full[t][c]
-                open_ -= x
-                if np.isfinite(bound):
-                    near = s >= bound - open_
-                    c, s = c[near], s[near]
-            s = np.round(s, 6)
-            near = (s > 0) & (s >= least[q])
-            c, s = c[near], s[near]
-            if len(c) > cfg.top_k:
-                kept = np.argsort(-s, kind="stable")[: cfg.top_k]
-                c, s = c[kept], s[kept]
-            if len(c):
-                out.append((q, c, s))
-    if out:
-        q = np.repeat(np.array([x[0] for x in out], dtype=np.int32), [len(x[1]) for x in out])
-        yield pa.RecordBatch.from_arrays([pa.array(q), ids.take(pa.array(np.concatenate([x[1] for x in out]))), pa.array(np.concatenate([x[2] for x in out]))], ["q", "key", "score"])
+    place, value = _postings(words, known, avgdl, cfg)
+    if not len(place):
+        return
+    n, k = len(ids), min(cfg.top_k, len(ids))
+    chunk, low = place % n, value.astype(np.float32)
+    bounds = np.searchsorted(place, np.arange(len(known) + 1) * n)
+    df = np.diff(bounds)
+    often = df * np.bincount(terms, minlength=len(known)) > FREQUENT * n * (len(first) - 1)
+    column, full = np.cumsum(often) - 1, np.zeros((int(often.sum()), n))
+    own = often[place // n]
+    full[column[place[own] // n], chunk[own]] = value[own]
+    dense = full.astype(np.float32)
+    rest = ~often[terms] & (df[terms] > 0)
+    for lo in range(0, len(first) - 1, QUERY_SLICE):
+        hi = min(lo + QUERY_SLICE, len(first) - 1)
+        a, b = first[lo], first[hi]
+        query = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
+        term, weight = terms[a:b], weights[a:b]
+        asked = np.zeros((hi - lo, len(dense)), dtype=np.float32)
+        asked[query[often[term]], column[term[often[term]]]] = weight[often[term]]
+        s = asked @ dense
+        for q, t, w in zip(query[rest[a:b]].tolist(), term[rest[a:b]].tolist(), weight[rest[a:b]].tolist()):
+            x, y = bounds[t], bounds[t + 1]
+            row = s[q]
+            row[chunk[x:y]] += low[x:y] * np.float32(w)
+        margin = 1e-6 + (np.bincount(query, minlength=hi - lo) + 8) * np.bincount(query, np.abs(weight), minlength=hi - lo) * (cfg.k1 + 1) * 2.4e-7
+        bound = least[lo:hi].copy()
+        new = np.isinf(bound)
+        if new.any():
+            bound[new] = np.partition(s[new], n - k, axis=1)[:, n - k] - margin[new]
+        r, c = np.divmod(np.flatnonzero(s >= np.maximum(bound - margin, 0).astype(np.float32)[:, None]), n)
+        count = np.diff(first[lo : hi + 1])[r]
+        pair, entry = np.repeat(np.arange(len(r)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[lo:hi][r], count)
+        by, held, sparse = terms[entry], np.zeros(len(entry)), rest[entry]
+        held[often[by]] = full[column[by[often[by]]], c[pair[often[by]]]]
+        wanted = by[sparse] * np.int64(n) + c[pair[sparse]]
+        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        held[sparse] = np.where(place[at] == wanted, value[at], 0.0)
+        exact = np.round(np.bincount(pair, weights[entry] * held, minlength=len(r)), 6)
+        near = (exact > 0) & (exact >= least[lo:hi][r])
+        r, c, exact = best_of(r[near], c[near], exact[near], cfg.top_k)
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array((r + lo).astype(np.int32)), ids.take(pa.array(c)), pa.array(exact)], ["q", "key", "score"])
 
 
 def _scores(sent, cfg: Retrieval):

@@ -75,7 +75,7 @@ def _cosines(sent, k: int):
                 s, known = low[first : first + QUERY_SLICE] @ x32, least[first : first + QUERY_SLICE]
                 if np.isinf(known).any():
                     known = np.maximum(known, np.partition(s, len(x) - n, axis=1)[:, len(x) - n] - margin)
-                r, c = np.nonzero(s >= (known - margin).astype(np.float32)[:, None])
+                r, c = np.divmod(np.flatnonzero(s >= (known - margin).astype(np.float32)[:, None]), len(x))
                 r += first
                 apart = own[c] != r
                 r, c = r[apart], c[apart]
